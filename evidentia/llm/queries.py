@@ -1,11 +1,13 @@
 """Registered queries of this subpackage, by name, and their SQL where it can express them."""
 
-from evidentia.llm import quality_rules
+from evidentia.llm import mixing, quality_rules
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
     "op4_quality_rules": quality_rules.ORACLE,
+    "op9_mixing": mixing.ORACLE,
 }
