@@ -1,8 +1,9 @@
 """Registered queries of this subpackage, by name, and their SQL where it can express them."""
 
-from evidentia.llm import mixing, quality_rules
+from evidentia.llm import mixing, quality_rules, sharding
 
 QUERIES = {
+    "op2_sharding": sharding.op2_sharding,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op9_mixing": mixing.op9_mixing,
 }
