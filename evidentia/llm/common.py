@@ -90,3 +90,21 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], va
         sums = sums.withColumn(total, F.sum("_sum").over(W.partitionBy(*keys)))
     here = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return df.join(sums.drop("_sum"), by).withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_base")
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        top = Path(__file__).resolve().parents[1]
+        with tempfile.TemporaryDirectory() as d:
+            shutil.copytree(top, f"{d}/in/{top.name}", ignore=shutil.ignore_patterns("__pycache__"))
+            kept = shutil.make_archive(f"{tempfile.mkdtemp()}/{top.name}", "zip", f"{d}/in")
+        spark.sparkContext.addPyFile(kept)

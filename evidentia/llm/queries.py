@@ -1,14 +1,16 @@
 """Registered queries of this subpackage, by name, and their SQL where it can express them."""
 
-from evidentia.llm import mixing, quality_rules, sharding
+from evidentia.llm import jaccard_join, mixing, quality_rules, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
     "op4_quality_rules": quality_rules.ORACLE,
+    "op7_jaccard_join": jaccard_join.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
