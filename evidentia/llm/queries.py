@@ -1,8 +1,9 @@
 """Registered queries of this subpackage, by name, and their SQL where it can express them."""
 
-from evidentia.llm import jaccard_join, mixing, quality_rules, sharding
+from evidentia.llm import jaccard_join, mixing, packing, quality_rules, sharding
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_sharding": sharding.op2_sharding,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
