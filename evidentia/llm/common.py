@@ -108,3 +108,58 @@ def ship(spark: SparkSession) -> None:
             shutil.copytree(top, f"{d}/in/{top.name}", ignore=shutil.ignore_patterns("__pycache__"))
             kept = shutil.make_archive(f"{tempfile.mkdtemp()}/{top.name}", "zip", f"{d}/in")
         spark.sparkContext.addPyFile(kept)
+
+
+#: Bits of a broadcast filter: 16 a key, from 128 KB to 128 MB. Beyond, it lets more pass; what passes is joined exactly.
+LEAST_BITS, MOST_BITS = 20, 30
+_ROW = 1 << 12
+
+
+def slots(keys, bits: int):
+    """Filter places of NumPy int64 keys, spread by a multiplication."""
+    import numpy as np
+
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _marks(bits: int):
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        marks = np.zeros(1 << bits, bool)
+        for batch in batches:
+            marks[slots(batch.column(0).drop_null().to_numpy(), bits)] = True
+        rows = np.packbits(marks).reshape(-1, _ROW)
+        for i in np.flatnonzero(rows.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rows[i].tobytes()], pa.binary())], ["block", "marks"])
+
+    return run
+
+
+def _either(key, table):
+    import numpy as np
+    import pyarrow as pa
+
+    out = np.zeros(_ROW, np.uint8)
+    for x in table.column("marks").to_pylist():
+        out |= np.frombuffer(x, np.uint8)
+    return pa.table({"block": table.column("block").slice(0, 1), "marks": pa.array([out.tobytes()], pa.binary())})
+
+
+def key_filter(keys: DataFrame, n: int):
+    """A broadcast of a bit set that holds every long of the one column of ``keys`` (``n`` rows); and its bits."""
+    import numpy as np
+
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    seen = np.zeros(1 << (bits - 3), np.uint8)
+    schema = "block int, marks binary"
+    for r in keys.mapInArrow(_marks(bits), schema).groupBy("block").applyInArrow(_either, schema).collect():
+        seen[r["block"] * _ROW : (r["block"] + 1) * _ROW] = np.frombuffer(r["marks"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(seen), bits
+
+
+def passes(seen, bits: int, keys):
+    """Which NumPy keys a filter holds, a few others among them."""
+    at = slots(keys, bits)
+    return ((seen[at >> 3] >> (7 - (at & 7)).astype("uint8")) & 1).astype(bool)
