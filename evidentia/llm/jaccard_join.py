@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import wordhash
-from evidentia.llm.common import discard, materialize, ship
+from evidentia.llm.common import key_filter, materialize, passes, ship
 from evidentia.llm.graph import components
 
 #: The sketch has as many counters as this to 2**MOST_BITS: 64 MB of one-byte levels at most are broadcast.
@@ -33,6 +33,7 @@ LEAST_BITS, MOST_BITS = 20, 26
 #: Counters in one row of a partial sketch.
 ROW = 2048
 TOKEN_BITS = 56
+_NO_ID = (1 << 63) - 1
 
 
 def _sets(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -122,34 +123,39 @@ def _prefixes(levels, width: int, percent: int):
             for i, own in _sets(wordhash.encoded(batch.column(1)), width):
                 t = _tokens(own, table)
                 n[i], key[i], low[i] = len(own), _set_key(own), int(own[0].astype(np.int64))
-                common[i] = int(t[len(t) // 4] >> wordhash.U(TOKEN_BITS))
-                toks[i] = t[: probe_length(len(own), percent)].astype(np.int64)
+                t = t[: probe_length(len(own), percent)]
+                common[i] = int(16 * (t >> wordhash.U(TOKEN_BITS)).mean())
+                toks[i] = t.astype(np.int64)
             yield pa.RecordBatch.from_arrays([ids, pa.array([x or 0 for x in n], pa.int64()), pa.array(key, pa.int64()), pa.array(low, pa.int64()), pa.array(common, pa.int32()), pa.array(toks, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "low", "common", "toks"])
 
     return run
 
 
-def _full_sets(width: int):
+def _full_sets(wanted, bits: int, width: int):
     def run(batches):
         for batch in batches:
-            want = batch.column(1).to_pylist()
+            ids = np.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+            hit = np.flatnonzero(passes(wanted.value, bits, ids))
             cls, sets = [], []
-            for i, own in _sets(wordhash.encoded(batch.column(0)), width):
-                if _set_key(own) == want[i]:
-                    cls.append(want[i])
-                    sets.append(own.astype(np.int64))
+            for _, own in _sets(wordhash.encoded(batch.column(1).take(pa.array(hit))), width):
+                cls.append(_set_key(own))
+                sets.append(own.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "s"])
 
     return run
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of classes that really link. Sets are made anew from one text of each class in the pairs."""
+    """The pairs ``a, b`` of classes that really link.
+
+    Sets are made anew from one text of each class in the pairs; a filter of those texts' ids keeps the other
+    texts from being cut into shingles, and no text is shuffled.
+    """
     ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    need = ids.join(classes.select("cls", F.col("doc_id").alias("_id")), "cls")
-    texts = docs.join(need, docs.doc_id.eqNullSafe(F.col("_id"))).select("text", "cls")
-    sets = texts.mapInArrow(_full_sets(width), "cls long, s array<long>").dropDuplicates(["cls"])
-    sets = materialize(sets, "sets")
+    need = materialize(ids.join(classes.select("cls", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id")), "cls"), "wanted")
+    wanted, bits = key_filter(need.select("id"), need.count())
+    sets = docs.select("doc_id", "text").mapInArrow(_full_sets(wanted, bits, width), "cls long, s array<long>")
+    sets = materialize(sets.join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     i = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * i >= percent * (F.size("sa") + F.size("sb") - i)).select("a", "b")
@@ -167,23 +173,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     some = found.filter("n > 0")
     classes = materialize(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("common").alias("common")), "classes")
 
-    # groups: classes with the same smallest shingle, held to three leaders each
+    # the matrix: only tokens of two classes or more can open anything
+    probe = some.select("cls", "n", "common", F.posexplode("toks").alias("pos", "token"))
+    shared = probe.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("token")
+    probe = probe.join(shared, "token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("common").alias("common"))
+    probe = materialize(probe, "probe")
+
+    # groups: classes link to leaders, the most typical of those with the same smallest shingle, or with a shared token
     order = F.xxhash64("cls")
-    lead = classes.groupBy("low").agg(F.max(F.struct("common", order.alias("h"), "cls", "n")).alias("x"), F.max(F.struct(order.alias("h"), "cls", "n")).alias("y"), F.min(F.struct("n", order.alias("h"), "cls")).alias("z"), F.count("*").alias("m")).filter("m > 1")
-    lead = lead.select("low", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"{k}.cls").alias("cls"), F.col(f"{k}.n").alias("n")) for k in "xyz"]))).alias("l"))
+    lead = classes.groupBy("low").agg(F.max(F.struct("common", order.alias("h"), "cls", "n")).alias("x"), F.max(F.struct(order.alias("h"), "cls", "n")).alias("y"), F.count("*").alias("m")).filter("m > 1")
+    lead = lead.select("low", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"{k}.cls").alias("cls"), F.col(f"{k}.n").alias("n")) for k in "xy"]))).alias("l"))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    pairs = classes.join(lead, "low").filter((F.col("cls") != F.col("l.cls")) & fits(F.col("n"), F.col("l.n")))
-    pairs = pairs.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")).distinct()
+    alike = classes.join(lead, "low").filter((F.col("cls") != F.col("l.cls")) & fits(F.col("n"), F.col("l.n"))).select("cls", F.col("l.cls").alias("d"))
+    top = probe.groupBy("token").agg(F.max(F.struct("common", order.alias("h"), F.col("cls").alias("d"), F.col("n").alias("m"))).alias("l"))
+    near = probe.join(top, "token").filter((F.col("cls") != F.col("l.d")) & fits(F.col("n"), F.col("l.m")))
+    near = near.groupBy("cls").agg(F.min(F.struct("pos", F.col("l.d").alias("d"))).alias("x"), F.max("l").alias("y"))
+    near = near.select("cls", F.explode(F.array("x.d", "y.d")).alias("d"))
+    pairs = alike.unionByName(near).select(F.least("cls", "d").alias("a"), F.greatest("cls", "d").alias("b")).distinct()
     links = materialize(verify(materialize(pairs, "pairs"), docs, classes, width, percent), "links")
     groups = components(links)
 
-    # the matrix: only tokens of two classes or more can open anything
-    probe = some.select("cls", "n", F.posexplode("toks").alias("pos", "token"))
-    shared = probe.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("token")
-    probe = probe.join(shared, "token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    probe = probe.join(groups.withColumnRenamed("v", "cls"), "cls", "left").withColumn("g", F.coalesce("c", "cls")).drop("c")
-    probe = materialize(probe, "probe")
-    t = percent / 100
+    probe = probe.drop("common").join(groups.withColumnRenamed("v", "cls"), "cls", "left").withColumn("g", F.coalesce("c", "cls")).drop("c")
     index = probe.filter(F.col("pos") < F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}") + 1)
     matrix = index.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     needed = lambda a, b: F.expr(f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}")  # noqa: E731  the overlap that links sizes a and b

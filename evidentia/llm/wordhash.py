@@ -12,7 +12,7 @@ SPACES[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes hashed at a time; a longer word is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 _R, _RI = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -23,9 +23,8 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, BLOCK) + 1, base, U)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n > BLOCK:
-            return have
-        _powers[base] = have
+        if n <= BLOCK:
+            _powers[base] = have
     return have[:n]
 
 
@@ -36,7 +35,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def batches(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def batches(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of neighbouring texts of about ``most`` bytes, each with the index of its first."""
     first, held, n = 0, [], 0
     for i, t in enumerate(texts):
