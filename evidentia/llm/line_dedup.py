@@ -140,9 +140,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 12) -> DataFrame:
     """The rows of ``docs`` with repeated passages cut from ``text``, and ``removed_words``."""
     ship(docs.sparkSession)
     gone = repeated_chunks(docs.select("doc_id", "text")).groupBy("id", "th").agg(F.collect_set("place").alias("_gone"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.xxhash64("text").alias("_th"))
+    other = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
+    rows = docs.select(other, F.col("text").alias("_text"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.xxhash64("text").alias("_th"))
     rows = rows.join(gone, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th")), "left").select("_row", "_text", "_gone")
-    kind = docs.select(F.struct(*docs.columns).alias("r")).schema["r"].dataType.simpleString()
+    kind = docs.select(other).schema["_row"].dataType.simpleString()
     out = rows.mapInArrow(_without(min_words), f"_row {kind}, _text string, _lost long")
     named = [F.col("_text").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
     return out.select(*named, F.col("_lost").alias("removed_words"))
