@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import wordhash
-from evidentia.llm.common import key_filter, materialize, passes, ship
+from evidentia.llm.common import WORD, key_filter, materialize, passes, ship
 from evidentia.llm.graph import components
 
 #: The sketch has as many counters as this to 2**MOST_BITS: 64 MB of one-byte levels at most are broadcast.
@@ -114,19 +114,64 @@ def probe_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def signature(own: np.ndarray) -> bytes:
+    """Parities of a set's hashes over about as many bits as it has members, 64 at least."""
+    bits = max(64, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((own & wordhash.U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """No two sets with these signatures differ in fewer members; the longer one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _plausible(percent: int):
+    def run(batches):
+        for batch in batches:
+            m, n, x, y = (batch.column(c).to_pylist() for c in ("m", "n", "x", "y"))
+            most = [s - 2 * -(-percent * s // (100 + percent)) for s in map(sum, zip(m, n, strict=True))]
+            hit = [least_difference(p, q) <= d for p, q, d in zip(x, y, most, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(hit, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
 def _prefixes(levels, width: int, percent: int):
     def run(batches):
         table = levels.value
         for batch in batches:
             ids = batch.column(0)
-            n, key, low, common, toks = ([None] * len(ids) for _ in range(5))
+            n, key, low, common, sig, toks = ([None] * len(ids) for _ in range(6))
             for i, own in _sets(wordhash.encoded(batch.column(1)), width):
                 t = _tokens(own, table)
                 n[i], key[i], low[i] = len(own), _set_key(own), int(own[0].astype(np.int64))
+                sig[i] = signature(own)
                 t = t[: probe_length(len(own), percent)]
                 common[i] = int(16 * (t >> wordhash.U(TOKEN_BITS)).mean())
                 toks[i] = t.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([x or 0 for x in n], pa.int64()), pa.array(key, pa.int64()), pa.array(low, pa.int64()), pa.array(common, pa.int32()), pa.array(toks, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "low", "common", "toks"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([x or 0 for x in n], pa.int64()), pa.array(key, pa.int64()), pa.array(low, pa.int64()), pa.array(common, pa.int32()), pa.array(sig, pa.binary()), pa.array(toks, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "n", "cls", "low", "common", "sig", "toks", "th"])
+
+    return run
+
+
+def _marked(marks, bits: int):
+    """One row for each token that the filter holds."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(3)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy()
+            of = np.repeat(np.arange(len(lists)), sizes)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hit = passes(marks.value, bits, flat)
+            rows = pa.array(of[hit])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(3)), pa.array(pos[hit].astype(np.int32)), pa.array(flat[hit])], ["cls", "n", "common", "pos", "token"])
 
     return run
 
@@ -146,37 +191,52 @@ def _full_sets(wanted, bits: int, width: int):
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of classes that really link.
+    """The pairs ``a, b`` of classes that really link, materialized.
 
-    Sets are made anew from one text of each class in the pairs; a filter of those texts' ids keeps the other
-    texts from being cut into shingles, and no text is shuffled.
+    Signatures bound how much two sets differ and leave few pairs. The full sets of those are made anew from one text
+    of each class; a filter of the texts' ids keeps others from being cut into shingles, and no text is shuffled.
     """
+    sized = classes.select("cls", "n", "sig")
+    sides = pairs.select("a", "b").join(sized.select(F.col("cls").alias("a"), F.col("n").alias("m"), F.col("sig").alias("x")), "a")
+    sides = sides.join(sized.select(F.col("cls").alias("b"), "n", F.col("sig").alias("y")), "b")
+    pairs = materialize(sides.select("a", "b", "m", "n", "x", "y").mapInArrow(_plausible(percent), "a long, b long"), "plausible")
     ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     need = materialize(ids.join(classes.select("cls", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id")), "cls"), "wanted")
     wanted, bits = key_filter(need.select("id"), need.count())
     sets = docs.select("doc_id", "text").mapInArrow(_full_sets(wanted, bits, width), "cls long, s array<long>")
-    sets = materialize(sets.join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    sets = sets.join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     i = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * i >= percent * (F.size("sa") + F.size("sb") - i)).select("a", "b")
+    return materialize(both.filter(100 * i >= percent * (F.size("sa") + F.size("sb") - i)).select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id``, and ``class_size``, the rows with an equal set."""
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("cls", "d").alias("a"), F.greatest("cls", "d").alias("b")).distinct()
+
+
+def _in_groups(df: DataFrame, groups: DataFrame, cls: str, name: str) -> DataFrame:
+    """Adds the group of a class; one without links is its own."""
+    return df.join(groups.select(F.col("v").alias(cls), F.col("c").alias("_c")), cls, "left").withColumn(name, F.coalesce("_c", cls)).drop("_c")
+
+
+def grouped(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, n, cls`` (the class, null without shingles), and classes ``cls, doc_id, rows, c`` (the group)."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     bits = min(MOST_BITS, max(LEAST_BITS, (2 * docs.count()).bit_length()))
     levels = spark.sparkContext.broadcast(rarity(docs.select("text"), bits, width))
-    found = docs.mapInArrow(_prefixes(levels, width, percent), "doc_id long, n long, cls long, low long, common int, toks array<long>")
+    found = docs.mapInArrow(_prefixes(levels, width, percent), "doc_id long, n long, cls long, low long, common int, sig binary, toks array<long>, th long")
     found = materialize(found, "prefixes")
     some = found.filter("n > 0")
-    classes = materialize(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("common").alias("common")), "classes")
+    classes = materialize(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("common").alias("common"), F.first("sig").alias("sig")), "classes")
 
     # the matrix: only tokens of two classes or more can open anything
-    probe = some.select("cls", "n", "common", F.posexplode("toks").alias("pos", "token"))
-    shared = probe.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("token")
-    probe = probe.join(shared, "token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("common").alias("common"))
+    shared = some.select("cls", F.explode("toks").alias("token")).groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("token")
+    shared = materialize(shared, "shared")
+    marks, mark_bits = key_filter(shared, shared.count())
+    kept = some.select("cls", "n", "common", "toks").mapInArrow(_marked(marks, mark_bits), "cls long, n long, common int, pos int, token long")
+    probe = kept.join(shared, "token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("common").alias("common"))
     probe = materialize(probe, "probe")
 
     # groups: classes link to leaders, the most typical of those with the same smallest shingle, or with a shared token
@@ -189,16 +249,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     near = probe.join(top, "token").filter((F.col("cls") != F.col("l.d")) & fits(F.col("n"), F.col("l.m")))
     near = near.groupBy("cls").agg(F.min(F.struct("pos", F.col("l.d").alias("d"))).alias("x"), F.max("l").alias("y"))
     near = near.select("cls", F.explode(F.array("x.d", "y.d")).alias("d"))
-    pairs = alike.unionByName(near).select(F.least("cls", "d").alias("a"), F.greatest("cls", "d").alias("b")).distinct()
-    links = materialize(verify(materialize(pairs, "pairs"), docs, classes, width, percent), "links")
+    links = verify(materialize(_ordered(alike.unionByName(near)), "pairs"), docs, classes, width, percent)
     groups = components(links)
 
-    probe = probe.drop("common").join(groups.withColumnRenamed("v", "cls"), "cls", "left").withColumn("g", F.coalesce("c", "cls")).drop("c")
+    probe = _in_groups(probe.drop("common"), groups, "cls", "g")
     index = probe.filter(F.col("pos") < F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}") + 1)
-    matrix = index.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = index.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     needed = lambda a, b: F.expr(f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}")  # noqa: E731  the overlap that links sizes a and b
     smallest = f"greatest(least, ({percent} * n + 99) div 100)"
-    bound = (F.col("n") - F.col("pos") >= needed("n", smallest)) & (F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
+    bound = (F.least(F.col("n") - F.col("pos"), "rest") >= needed("n", smallest)) & (F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
     opened = probe.join(matrix, "token").filter((F.col("g") != F.col("h")) & bound).select("cls", "h").distinct()
     asks = probe.select("token", F.col("cls").alias("a"), "n", "pos", F.col("cls")).join(opened, "cls").drop("cls")
     inside = index.select("token", F.col("g").alias("h"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("pos").alias("p"))
@@ -206,16 +265,35 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     more = asks.join(inside, ["token", "h"]).filter(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = materialize(more, "candidates")
     if more.head(1):
-        extra = verify(more, docs, classes, width, percent)
-        groups = components(links.unionByName(extra))
+        groups = components(links.unionByName(verify(more, docs, classes, width, percent)))
+
+    return found, _in_groups(classes, groups, "cls", "c").select("cls", "doc_id", "rows", "c")
 
-    named = classes.join(groups.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "doc_id", "rows", F.coalesce("c", "cls").alias("c"))
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id``, and ``class_size``, the rows with an equal set."""
+    found, named = grouped(docs, percent, width)
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "c").select("cls", "component_id", "rows")
     out = found.select("doc_id", "n", "cls").join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("rows", F.lit(1)).alias("class_size"))
 
 
+def deduplicate(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` with one document left of each group: that of the smallest id, then text hash; one row of it.
+
+    Rows without shingles all stay. An id that stands for several texts keeps only the one chosen here.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    found, named = grouped(docs, percent, width)
+    best = found.filter("n > 0").join(named.select("cls", "c"), "cls").groupBy("c").agg(F.min(F.struct(key.alias("id"), "th")).alias("k"))
+    stays = best.select("k.id", F.col("k.th").alias("_th"))
+    wordy = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = docs.filter(wordy).withColumn("_id", key).withColumn("_h", F.xxhash64("text"))
+    kept = kept.join(stays, (F.col("_id") == F.col("id")) & (F.col("_h") == F.col("_th"))).dropDuplicates(["_id", "_h"])
+    return kept.select(*docs.columns).unionByName(docs.filter(~wordy))
+
+
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "class_size")
 

@@ -1,4 +1,641 @@
-"""All registered queries of the engine and the SQL that must give the same rows."""
+"""All registered queries of the engine and the SQL that must give the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Suppliers play baits, parts preys, months studies and return flags methods; both ids share one id space. Customer
+segments play cell lines. Every query reads its whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidentia.functions import special
+from evidentia.operators import evidence as E
+from evidentia.operators import graph as G
+from evidentia.operators import learning as L
+from evidentia.operators import stats as S
+from evidentia.operators import windows as WN
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = "WITH " + sql.strip()
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def ev(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("bait"), F.col("l_partkey").alias("prey"), F.date_format("l_shipdate", "yyyy-MM").alias("study"), F.col("l_returnflag").alias("method")).distinct()
+
+
+STUDY = ["study", "method"]
+
+
+def pairs(spark, sf) -> DataFrame:
+    return E.aggregate_pairs(ev(spark, sf), STUDY)
+
+
+def pod(spark, sf) -> DataFrame:
+    return E.posterior(pairs(spark, sf))
+
+
+def ev_cell(spark, sf) -> DataFrame:
+    """Evidence with a cell line: the customer's segment."""
+    line = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return line.select(F.col("l_suppkey").alias("bait"), F.col("l_partkey").alias("prey"), F.date_format("l_shipdate", "yyyy-MM").alias("study"), F.col("l_returnflag").alias("method"), F.col("c_mktsegment").alias("cvcl")).distinct()
+
+
+def brand_pairs(spark, sf) -> DataFrame:
+    """Supplier by brand within the month: a dense, small pair table."""
+    line = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return line.select(F.col("l_suppkey").alias("bait"), F.col("p_brand").alias("prey"), F.date_format("l_shipdate", "yyyy-MM").alias("study"), F.col("l_returnflag").alias("method"))
+
+
+def signed(spark, sf) -> DataFrame:
+    """A small signed graph on suppliers: brands in common by month, many shared months positive, few negative."""
+    e = brand_pairs(spark, sf).filter("method = 'R'").select("bait", "study").distinct()
+    s = E.shared_members(e, "bait", "study")
+    cut = s.agg(F.percentile("n_shared", F.lit(0.9)).alias("hi"), F.percentile("n_shared", F.lit(0.1)).alias("lo"))
+    s = s.crossJoin(F.broadcast(cut))  # one row
+    return s.withColumn("sign", F.when(F.col("n_shared") > F.col("hi"), 1).when(F.col("n_shared") < F.col("lo"), 0)).filter("sign is not null").select(F.col("x").alias("src"), F.col("y").alias("dst"), "sign")
+
+
+EV = "ev AS (SELECT DISTINCT l_suppkey AS bait, l_partkey AS prey, strftime(l_shipdate, '%Y-%m') AS study, l_returnflag AS method FROM lineitem)"
+PAIRS = EV + """, pairs AS (SELECT b.bait, p.prey, count(*)::BIGINT AS n_tested, count(e.bait)::BIGINT AS n_observed
+ FROM (SELECT DISTINCT study, method, bait FROM ev) b JOIN (SELECT DISTINCT study, method, prey FROM ev) p USING (study, method)
+ LEFT JOIN ev e ON e.study = b.study AND e.method = b.method AND e.bait = b.bait AND e.prey = p.prey WHERE b.bait <> p.prey GROUP BY 1, 2)"""
+POD = PAIRS + """, pod AS (SELECT *, a0 + n_observed AS alpha_post, 1.0 - a0 + n_tested - n_observed AS beta_post, (a0 + n_observed) / (1.0 + n_tested) AS p
+ FROM pairs, (SELECT sum(n_observed)::DOUBLE / sum(n_tested)::DOUBLE * 1.0 AS a0 FROM pairs))"""
+CELL = """ev AS (SELECT DISTINCT l_suppkey AS bait, l_partkey AS prey, strftime(l_shipdate, '%Y-%m') AS study, l_returnflag AS method, c_mktsegment AS cvcl
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+ cell AS (SELECT b.bait, p.prey, b.cvcl, count(*)::BIGINT AS n_tested, count(e.bait)::BIGINT AS n_observed
+ FROM (SELECT DISTINCT study, method, cvcl, bait FROM ev) b JOIN (SELECT DISTINCT study, method, cvcl, prey FROM ev) p USING (study, method, cvcl)
+ LEFT JOIN ev e ON e.study = b.study AND e.method = b.method AND e.cvcl = b.cvcl AND e.bait = b.bait AND e.prey = p.prey WHERE b.bait <> p.prey GROUP BY 1, 2, 3)"""
+BRAND = "bp AS (SELECT l_suppkey AS bait, p_brand AS prey, strftime(l_shipdate, '%Y-%m') AS study, l_returnflag AS method FROM lineitem JOIN part ON l_partkey = p_partkey)"
+SIGNED = BRAND + """, bs AS (SELECT DISTINCT bait, study FROM bp WHERE method = 'R'), ids AS (SELECT DISTINCT bait FROM bs),
+ sh AS (SELECT x.bait AS x, y.bait AS y, coalesce(n, 0) AS n_shared FROM ids x JOIN ids y ON x.bait < y.bait
+ LEFT JOIN (SELECT a.bait AS x, b.bait AS y, count(*) AS n FROM bs a JOIN bs b USING (study) WHERE a.bait < b.bait GROUP BY ALL) s ON s.x = x.bait AND s.y = y.bait),
+ sg AS (SELECT x AS src, y AS dst, CASE WHEN n_shared > (SELECT quantile_cont(n_shared, 0.9) FROM sh) THEN 1 ELSE 0 END AS sign FROM sh
+ WHERE n_shared > (SELECT quantile_cont(n_shared, 0.9) FROM sh) OR n_shared < (SELECT quantile_cont(n_shared, 0.1) FROM sh))"""
+U = lambda *k: "(('0x' || substr(md5(concat_ws('_', " + ", ".join(f"({x})::VARCHAR" for x in k) + ")), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
+r6 = lambda c: F.round(c, 6)
+
+
+# evidence and roles
+
+
+@query(EV + " SELECT * FROM ev")
+def evidence_distinct(spark, sf):
+    return ev(spark, sf)
+
+
+@query("""r AS (SELECT l_suppkey AS a, l_partkey AS b, l_linestatus = 'O' AS x, l_returnflag = 'R' AS y, l_shipmode AS m FROM (SELECT *, strftime(l_shipdate, '%Y') AS l_shipmode FROM lineitem))
+ SELECT DISTINCT CASE WHEN x THEN a ELSE b END AS bait, CASE WHEN x THEN b ELSE a END AS prey, m AS study FROM r WHERE x <> y""")
+def role_normalise(spark, sf):
+    df = table(spark, sf, "lineitem").withColumn("study", F.date_format("l_shipdate", "yyyy"))
+    return E.normalise_roles(df, "l_suppkey", "l_partkey", F.col("l_linestatus") == "O", F.col("l_returnflag") == "R", ["study"])
+
+
+@query("""l AS (SELECT s_nationkey AS bait, c_nationkey AS prey, count(*)::BIGINT AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+ SELECT bait, prey, n, x.n_name AS n_name_bait, y.n_name AS n_name_prey FROM l JOIN nation x ON x.n_nationkey = bait JOIN nation y ON y.n_nationkey = prey""")
+def dim_join_twice(spark, sf):
+    line = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    n = line.groupBy(F.col("s_nationkey").alias("bait"), F.col("c_nationkey").alias("prey")).agg(F.count("*").alias("n"))
+    return E.join_dim_twice(n, table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+
+
+@query(EV + """, b AS (SELECT study, method, count(DISTINCT bait)::BIGINT AS baits, count(DISTINCT prey)::BIGINT AS preys, count(*)::BIGINT AS observed FROM ev GROUP BY ALL)
+ SELECT *, baits * preys AS products FROM b""")
+def search_space_groups(spark, sf):
+    g = ev(spark, sf).groupBy(*STUDY).agg(F.count_distinct("bait").alias("baits"), F.count_distinct("prey").alias("preys"), F.count("*").alias("observed"))
+    return g.withColumn("products", F.col("baits") * F.col("preys"))
+
+
+@query(EV + """ SELECT study, method, count(*)::BIGINT AS tests, count(e.bait)::BIGINT AS observed FROM (SELECT DISTINCT study, method, bait FROM ev) b JOIN (SELECT DISTINCT study, method, prey FROM ev) p USING (study, method)
+ LEFT JOIN ev e USING (study, method, bait, prey) WHERE b.bait <> p.prey GROUP BY ALL""")
+def search_space(spark, sf):
+    return E.search_space(ev(spark, sf), STUDY).groupBy(*STUDY).agg(F.count("*").alias("tests"), F.sum("n_observed").alias("observed"))
+
+
+@query(PAIRS + " SELECT * FROM pairs")
+def pair_aggregate(spark, sf):
+    return pairs(spark, sf)
+
+
+@query(EV + " SELECT bait, prey, string_agg(DISTINCT study || '_' || method, ';' ORDER BY study || '_' || method) AS sources FROM ev GROUP BY ALL")
+def pair_sources(spark, sf):
+    return E.pair_sources(ev(spark, sf), STUDY)
+
+
+@query(PAIRS + " SELECT least(bait, prey) AS a, greatest(bait, prey) AS b, sum(n_tested)::BIGINT AS n_tested, sum(n_observed)::BIGINT AS n_observed, least(bait, prey)::VARCHAR || '_' || greatest(bait, prey)::VARCHAR AS pair_id FROM pairs GROUP BY ALL")
+def undirected_collapse(spark, sf):
+    return E.collapse_undirected(pairs(spark, sf))
+
+
+@query(POD + " SELECT bait, prey, n_tested, n_observed, round(p, 6) AS p, round(alpha_post, 6) AS alpha_post, round(beta_post, 6) AS beta_post FROM pod")
+def pod_point(spark, sf):
+    return pod(spark, sf).select("bait", "prey", "n_tested", "n_observed", r6("p").alias("p"), r6("alpha_post").alias("alpha_post"), r6("beta_post").alias("beta_post"))
+
+
+@query()
+def pod_bounds(spark, sf):
+    return special.with_bounds(pod(spark, sf))
+
+
+@query(CELL + """, c AS (SELECT *, sum(n_observed) OVER (PARTITION BY cvcl)::DOUBLE / sum(n_tested) OVER (PARTITION BY cvcl)::DOUBLE AS a0 FROM cell)
+ SELECT bait, prey, cvcl, n_tested, n_observed, round((a0 + n_observed) / (1.0 + n_tested), 6) AS p FROM c""")
+def pod_by_cellline(spark, sf):
+    out = E.posterior(E.aggregate_pairs(ev_cell(spark, sf), [*STUDY, "cvcl"], ["bait", "prey", "cvcl"]), prior_keys=["cvcl"])
+    return out.select("bait", "prey", "cvcl", "n_tested", "n_observed", r6("p").alias("p"))
+
+
+@query("""e AS (SELECT DISTINCT l_suppkey AS bait, l_partkey AS prey, l_orderkey AS study FROM lineitem WHERE l_suppkey <> l_partkey)
+ SELECT e.* FROM e JOIN (SELECT study FROM e GROUP BY study HAVING count(*) > 1) USING (study)""")
+def single_study_filter(spark, sf):
+    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("bait"), F.col("l_partkey").alias("prey"), F.col("l_orderkey").alias("study"))
+    return E.drop_single_pair_groups(e, ["study"])
+
+
+@query("k AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN k USING (l_orderkey, l_linenumber)")
+def keep_repeated(spark, sf):
+    return E.keep_repeated(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("k AS (SELECT l_orderkey FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_returnflag) = 1) SELECT l_orderkey, l_returnflag, count(*)::BIGINT AS n FROM lineitem JOIN k USING (l_orderkey) GROUP BY ALL")
+def single_valued_groups(spark, sf):
+    return E.keep_single_valued(table(spark, sf, "lineitem"), ["l_orderkey"], "l_returnflag").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query(PAIRS + " SELECT n_tested, n_observed, count(*)::BIGINT AS size FROM pairs GROUP BY ALL")
+def tested_observed_hist(spark, sf):
+    return pairs(spark, sf).groupBy("n_tested", "n_observed").agg(F.count("*").alias("size"))
+
+
+@query(EV + """, c AS (SELECT method, bait, count(*)::BIGINT AS n FROM ev GROUP BY ALL)
+ SELECT bait, coalesce(max(CASE WHEN method = 'A' THEN n END), 0) AS n_a, coalesce(max(CASE WHEN method = 'N' THEN n END), 0) AS n_n, coalesce(max(CASE WHEN method = 'R' THEN n END), 0) AS n_r FROM c GROUP BY bait""")
+def outer_count_fold(spark, sf):
+    e = ev(spark, sf)
+    return E.outer_fold([e.filter(F.col("method") == m).groupBy("bait").agg(F.count("*").alias(f"n_{m.lower()}")) for m in "ANR"], ["bait"])
+
+
+@query(POD + " SELECT bait, prey, CASE WHEN p >= 0.05 THEN 1 ELSE 0 END AS sign FROM pod WHERE p >= 0.05 OR (n_tested >= 30 AND n_observed = 0)")
+def hci_hcni_edges(spark, sf):
+    return E.select_edges(pod(spark, sf), 0.05, 30).select("bait", "prey", "sign")
+
+
+@query(POD + """, g AS (SELECT * FROM (VALUES ('0.05'), ('0.1'), ('all')) a(pos_limit), (VALUES (20), (40)) b(neg_limit)),
+ s AS (SELECT pos_limit, neg_limit, CASE WHEN CASE WHEN pos_limit = 'all' THEN n_observed >= 1 ELSE p >= try_cast(pos_limit AS DOUBLE) END THEN 1 WHEN n_tested >= neg_limit AND n_observed = 0 THEN 0 END AS sign FROM pod, g)
+ SELECT pos_limit, neg_limit, sign, count(*)::BIGINT AS n FROM s WHERE sign IS NOT NULL GROUP BY ALL""")
+def threshold_grid(spark, sf):
+    return E.threshold_grid(pod(spark, sf), [0.05, 0.1, "all"], [20, 40]).groupBy("pos_limit", "neg_limit", "sign").agg(F.count("*").alias("n"))
+
+
+# degrees and hubs
+
+DEG = PAIRS + """, deg AS (SELECT id, sum(n_tested)::BIGINT AS sum_tests, count(CASE WHEN n_observed > 0 THEN 1 END)::BIGINT AS deg_pos, count(CASE WHEN n_observed = 0 THEN 1 END)::BIGINT AS deg_neg, count(*)::BIGINT AS deg_tested
+ FROM (SELECT bait AS id, n_tested, n_observed FROM pairs UNION ALL SELECT prey, n_tested, n_observed FROM pairs) GROUP BY id),
+ bins AS (SELECT *, CASE WHEN deg_pos > qp THEN 'high' WHEN deg_pos < lp THEN 'low' ELSE 'mid' END AS pos_bin, CASE WHEN deg_neg > qn THEN 'high' WHEN deg_neg < ln THEN 'low' ELSE 'mid' END AS neg_bin, CASE WHEN deg_tested <= 100 THEN 'low' WHEN deg_tested > 500 THEN 'high' ELSE 'mid' END AS tested_bin
+ FROM deg, (SELECT quantile_cont(deg_pos, 0.75) AS qp, quantile_cont(CASE WHEN deg_pos <> 0 THEN deg_pos END, 0.25) AS lp, quantile_cont(deg_neg, 0.75) AS qn, quantile_cont(CASE WHEN deg_neg <> 0 THEN deg_neg END, 0.25) AS ln FROM deg))"""
+
+
+def degrees(spark, sf) -> DataFrame:
+    d = E.endpoint_degrees(pairs(spark, sf))
+    return E.bin_fixed(E.bin_quantile(E.bin_quantile(d, "deg_pos", "pos_bin"), "deg_neg", "neg_bin"), "deg_tested", 100, 500, "tested_bin")
+
+
+@query(DEG + " SELECT * FROM deg")
+def endpoint_degree(spark, sf):
+    return E.endpoint_degrees(pairs(spark, sf))
+
+
+@query(DEG + " SELECT id, pos_bin, neg_bin, tested_bin FROM bins")
+def degree_bins(spark, sf):
+    return degrees(spark, sf).select("id", "pos_bin", "neg_bin", "tested_bin")
+
+
+@query(DEG + " SELECT id, CASE WHEN pos_bin = 'high' AND neg_bin = 'low' THEN 'interaction' WHEN pos_bin = 'low' AND neg_bin = 'high' THEN 'non_interaction' ELSE 'none' END AS hub FROM bins")
+def hub_sets(spark, sf):
+    return E.hub_status(degrees(spark, sf)).select("id", "hub")
+
+
+@query(DEG + """, g AS (SELECT * FROM (VALUES ('low'), ('mid'), ('high')) a(pos_bin), (VALUES ('low'), ('mid'), ('high')) b(neg_bin))
+ SELECT pos_bin, neg_bin, coalesce(n, 0)::BIGINT AS n FROM g LEFT JOIN (SELECT pos_bin, neg_bin, count(*) AS n FROM bins GROUP BY ALL) USING (pos_bin, neg_bin)""")
+def bin_crosstab(spark, sf):
+    b = ["low", "mid", "high"]
+    return WN.complete_crosstab(degrees(spark, sf), "pos_bin", "neg_bin", b, b)
+
+
+@query(DEG + ", g AS (SELECT * FROM (VALUES ('low'), ('mid'), ('high')) a(bin)) SELECT bin, max(deg_tested) AS most FROM g LEFT JOIN bins ON bin = tested_bin GROUP BY bin")
+def bin_max(spark, sf):
+    b = spark.createDataFrame([("low",), ("mid",), ("high",)], "bin string")
+    m = degrees(spark, sf).groupBy(F.col("tested_bin").alias("bin")).agg(F.max("deg_tested").alias("most"))
+    return b.join(m, "bin", "left")
+
+
+@query(EV + " SELECT bait, prey, bool_or(method = 'A') AS seen_a, bool_or(method = 'R') AS seen_r, count(DISTINCT method)::BIGINT AS methods FROM ev GROUP BY ALL")
+def method_concordance(spark, sf):
+    return ev(spark, sf).groupBy("bait", "prey").agg(F.bool_or(F.col("method") == "A").alias("seen_a"), F.bool_or(F.col("method") == "R").alias("seen_r"), F.count_distinct("method").alias("methods"))
+
+
+@query(EV + """, b AS (SELECT DISTINCT bait, prey FROM ev), i AS (SELECT DISTINCT bait FROM b)
+ SELECT x.bait AS x, y.bait AS y, coalesce(n, 0)::BIGINT AS n_shared FROM i x JOIN i y ON x.bait < y.bait LEFT JOIN (SELECT a.bait AS x, c.bait AS y, count(*) AS n FROM b a JOIN b c USING (prey) WHERE a.bait < c.bait GROUP BY ALL) s ON s.x = x.bait AND s.y = y.bait""")
+def shared_study_pairs(spark, sf):
+    return E.shared_members(ev(spark, sf), "bait", "prey")
+
+
+@query(EV + """, n AS (SELECT study, method, bait, prey, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY study, method) AS share FROM ev GROUP BY ALL),
+ s AS (SELECT prey, bait, sum(share) AS s FROM n GROUP BY ALL), p AS (SELECT *, s / sum(s) OVER (PARTITION BY prey) AS p FROM s)
+ SELECT prey, round(-sum(p * ln(p)), 6) AS entropy, round(max(p), 6) AS max_share FROM p GROUP BY prey""")
+def prey_entropy(spark, sf):
+    out = E.entropy_share(ev(spark, sf), STUDY, "prey", "bait")
+    return out.select("prey", r6("entropy").alias("entropy"), r6("max_share").alias("max_share"))
+
+
+@query(PAIRS + """, n AS (SELECT bait, n_tested, count(*) AS n FROM pairs WHERE n_observed = 0 GROUP BY ALL), g AS (SELECT bait, l::BIGINT AS n_tested FROM (SELECT DISTINCT bait FROM n), (SELECT unnest(range(1, (SELECT max(n_tested) + 1 FROM n))) AS l)),
+ c AS (SELECT bait, n_tested, sum(coalesce(n, 0)) OVER (PARTITION BY bait ORDER BY n_tested DESC) AS k FROM g LEFT JOIN n USING (bait, n_tested))
+ SELECT n_tested, round(median(k), 6) AS median_degree FROM c GROUP BY n_tested""")
+def reverse_cum_degree(spark, sf):
+    c = WN.reverse_cumulative(pairs(spark, sf).filter("n_observed = 0"), "bait", "n_tested")
+    return c.groupBy("n_tested").agg(r6(F.median("n_at_least")).alias("median_degree"))
+
+
+# ordered analytics
+
+
+@query(POD + """, v AS (SELECT round(p, 6) AS v, CASE WHEN p_size > 5 THEN p_retailprice END AS m FROM pod JOIN part ON prey = p_partkey), t AS (SELECT v, count(*) AS n, count(m) AS k, sum(round(m * 100)::BIGINT) AS s FROM v GROUP BY v),
+ a AS (SELECT v AS threshold, sum(n) OVER w AS n_pairs, sum(k) OVER w AS non_na_pairs, coalesce(sum(s) OVER w, 0) AS total, sum(n) OVER () AS alls FROM t WINDOW w AS (ORDER BY v DESC ROWS UNBOUNDED PRECEDING))
+ SELECT threshold, n_pairs::BIGINT AS n_pairs, non_na_pairs::BIGINT AS non_na_pairs, total::BIGINT AS total FROM a WHERE n_pairs >= 200 OR n_pairs = alls""")
+def accumulation_curve(spark, sf):
+    cents = F.round(F.when(F.col("p_size") > 5, F.col("p_retailprice")) * 100).cast("long")
+    v = pod(spark, sf).join(table(spark, sf, "part"), F.col("prey") == F.col("p_partkey")).select(r6("p").alias("v"), cents.alias("m"))
+    return WN.accumulation_curve(v, "v", "m")
+
+
+@query(PAIRS + ", h AS (SELECT n_tested AS value, count(*) AS w FROM pairs GROUP BY 1) SELECT value, (sum(w) OVER (ORDER BY value DESC))::BIGINT AS at_least, (sum(w) OVER (ORDER BY value))::BIGINT AS at_most FROM h")
+def empirical_accumulation(spark, sf):
+    return WN.weighted_accumulation(pairs(spark, sf).groupBy("n_tested").agg(F.count("*").alias("w")), "n_tested", "w")
+
+
+PV = "pv AS (SELECT c_custkey AS id, c_mktsegment AS g, abs(c_acctbal) / 10000.0 AS p FROM customer)"
+ADJ = lambda by, scale: PV + f""", n AS (SELECT {by} p, count(*) AS n FROM pv GROUP BY ALL), r AS (SELECT *, sum(n) OVER ({'PARTITION BY g ' if by else ''}ORDER BY p) AS k, sum(n) OVER ({'PARTITION BY g' if by else ''}) AS m FROM n),
+ q AS (SELECT {by} p, least(1.0, min(p * m / k * {scale}) OVER ({'PARTITION BY g ' if by else ''}ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r)
+ SELECT id, g, round(q, 6) AS q FROM pv JOIN q USING ({by} p)"""
+
+
+def p_values(spark, sf) -> DataFrame:
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("g"), (F.abs("c_acctbal") / 10000.0).alias("p"))
+
+
+@query(ADJ("g,", "1.0"))
+def bh_adjust(spark, sf):
+    return WN.adjust(p_values(spark, sf), "p", ["g"]).select("id", "g", r6("q").alias("q"))
+
+
+@query(ADJ("", "(SELECT sum(1.0 / i) FROM range(1, (SELECT count(*) + 1 FROM pv)) t(i))"))
+def by_adjust(spark, sf):
+    return WN.adjust(p_values(spark, sf), "p", dependent=True).select("id", "g", r6("q").alias("q"))
+
+
+@query(DEG + " SELECT id, deg_tested, rank() OVER (ORDER BY deg_pos) + (count(*) OVER (PARTITION BY deg_pos) - 1) / 2.0 AS rank FROM deg")
+def average_rank(spark, sf):
+    return WN.average_rank(E.endpoint_degrees(pairs(spark, sf)), "deg_pos").select("id", "deg_tested", "rank")
+
+
+@query("t AS (SELECT *, rank() OVER (PARTITION BY c_mktsegment ORDER BY round(c_acctbal, -3) DESC) AS r FROM customer) SELECT c_custkey, c_mktsegment FROM t WHERE r <= 10")
+def top_n_ties(spark, sf):
+    return WN.top_n(table(spark, sf, "customer"), 10, [F.desc(F.round("c_acctbal", -3))], ["c_mktsegment"], ties=True).select("c_custkey", "c_mktsegment")
+
+
+@query("t AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) SELECT c_custkey, c_mktsegment FROM t WHERE r <= 10")
+def top_n(spark, sf):
+    return WN.top_n(table(spark, sf, "customer"), 10, [F.desc("c_acctbal"), F.asc("c_custkey")], ["c_mktsegment"]).select("c_custkey", "c_mktsegment")
+
+
+@query("t AS (SELECT *, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, c_mktsegment FROM t WHERE r <= n * 0.1")
+def top_fraction(spark, sf):
+    return WN.top_fraction(table(spark, sf, "customer"), 0.1, [F.asc("c_acctbal")], ["c_mktsegment"]).select("c_custkey", "c_mktsegment")
+
+
+@query("t AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) SELECT o_custkey, o_orderkey, o_totalprice FROM t WHERE r = 1")
+def best_row_per_key(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_totalprice", -F.col("o_orderkey"))).alias("b")).select("o_custkey", "b.*")
+
+
+@query("x AS (SELECT 1) SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS id, floor((row_number() OVER (ORDER BY c_custkey) - 1) / 200)::BIGINT AS batch FROM customer")
+def numbered_batches(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey")
+    return WN.numbered(WN.numbered(c, "c_custkey"), "c_custkey", 200, "batch")
+
+
+@query(f"x AS (SELECT 1) SELECT c_custkey FROM customer ORDER BY {U('c_custkey', '7')}, c_custkey LIMIT 100")
+def sample_by_hash(spark, sf):
+    return table(spark, sf, "customer").orderBy(S.hash_unit(F.col("c_custkey"), F.lit(7)), "c_custkey").limit(100).select("c_custkey")
+
+
+# aggregates
+
+
+@query(EV + " SELECT bait, count(CASE WHEN method = 'A' THEN 1 END)::BIGINT AS A, count(CASE WHEN method = 'N' THEN 1 END)::BIGINT AS N, count(CASE WHEN method = 'R' THEN 1 END)::BIGINT AS R, count(*)::BIGINT AS total FROM ev GROUP BY bait")
+def pivot_tested(spark, sf):
+    p = ev(spark, sf).groupBy("bait").pivot("method", ["A", "N", "R"]).count().fillna(0)
+    return p.withColumn("total", F.col("A") + F.col("N") + F.col("R"))
+
+
+@query("x AS (SELECT c_mktsegment AS segment, avg(c_acctbal) AS mean_p, max(c_acctbal) AS max_p, min(c_acctbal) AS min_p FROM customer GROUP BY 1), y AS (UNPIVOT x ON mean_p, max_p, min_p INTO NAME k VALUE v) SELECT segment, replace(k, '_p', '') AS variable, round(v, 4) AS value FROM y")
+def unpivot_values(spark, sf):
+    x = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.avg("c_acctbal").alias("mean_p"), F.max("c_acctbal").alias("max_p"), F.min("c_acctbal").alias("min_p"))
+    return x.unpivot(["segment"], ["mean_p", "max_p", "min_p"], "variable", "value").select("segment", F.regexp_replace("variable", "_p$", "").alias("variable"), F.round("value", 4).alias("value"))
+
+
+BRANDS = "s AS (SELECT l_suppkey AS id, list_sort(list_distinct(list(p_brand))) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 AND l_returnflag = 'R' GROUP BY 1)"
+
+
+def brand_sets(spark, sf) -> DataFrame:
+    line = table(spark, sf, "lineitem").filter("l_quantity > 45 and l_returnflag = 'R'").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return line.groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_set("p_brand")).alias("brands"))
+
+
+@query(BRANDS + " SELECT a.id AS a, b.id AS b, len(list_intersect(a.brands, b.brands))::BIGINT AS common, round(len(list_intersect(a.brands, b.brands)) / len(list_distinct(a.brands || b.brands)), 6) AS jaccard FROM s a JOIN s b ON a.id < b.id")
+def jaccard_pairs(spark, sf):
+    s = brand_sets(spark, sf)
+    j = s.select(F.col("id").alias("a"), F.col("brands").alias("x")).join(s.select(F.col("id").alias("b"), F.col("brands").alias("y")), F.col("a") < F.col("b"))
+    i, u = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
+    return j.select("a", "b", i.cast("long").alias("common"), r6(F.try_divide(i, u)).alias("jaccard"))
+
+
+@query(BRANDS + " SELECT t AS term, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM s), 6) AS frequency FROM (SELECT unnest(brands) AS t FROM s) GROUP BY t HAVING count(*) / (SELECT count(*) FROM s) > 0.1")
+def term_frequency(spark, sf):
+    s = brand_sets(spark, sf)
+    n = s.agg(F.count("*").alias("all"))
+    t = s.select(F.explode("brands").alias("term")).groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n))  # one row
+    return t.withColumn("frequency", F.col("n") / F.col("all")).filter("frequency > 0.1").select("term", "n", r6("frequency").alias("frequency"))
+
+
+@query("e AS (SELECT p_partkey AS id, trim(unnest(string_split(p_name, ' '))) AS term FROM part) SELECT * FROM e WHERE term <> ''")
+def annotation_explode(spark, sf):
+    from evidentia.sources.readers import listed
+
+    return listed(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("term")), "term", " ")
+
+
+@query(BRAND + """, n AS (SELECT bait, prey, count(*)::DOUBLE AS n FROM bp GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER (PARTITION BY bait) AS f FROM n) SELECT prey, round(avg(f), 6) AS mean_frequency, count(*)::BIGINT AS baits FROM f GROUP BY prey""")
+def relative_frequency(spark, sf):
+    from pyspark.sql import Window as W
+
+    n = brand_pairs(spark, sf).groupBy("bait", "prey").agg(F.count("*").cast("double").alias("n"))
+    f = n.withColumn("f", F.col("n") / F.sum("n").over(W.partitionBy("bait")))
+    return f.groupBy("prey").agg(r6(F.avg("f")).alias("mean_frequency"), F.count("*").alias("baits"))
+
+
+@query("x AS (SELECT 1) SELECT l_suppkey AS id, arg_max(l_partkey, (l_extendedprice, l_partkey)) AS part, max(l_extendedprice) AS price FROM lineitem GROUP BY 1")
+def arg_max_row(spark, sf):
+    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.max_by("l_partkey", F.struct("l_extendedprice", "l_partkey")).alias("part"), F.max("l_extendedprice").alias("price"))
+
+
+@query("x AS (SELECT *, regexp_extract(props, '\"k\": ?\"?([^\",}]*)', 1) AS k FROM events) SELECT event_type, count(*)::BIGINT AS n, round(avg(value), 4) AS mean, count(value)::BIGINT AS n_value, round(sum(value) / sum(sum(value)) OVER (), 6) AS share FROM x GROUP BY event_type")
+def group_bundle(spark, sf):
+    from pyspark.sql import Window as W
+
+    g = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.count("value").alias("n_value"), F.sum("value").alias("s"))
+    return g.select("event_type", "n", F.round("mean", 4).alias("mean"), "n_value", r6(F.col("s") / F.sum("s").over(W.partitionBy())).alias("share"))
+
+
+@query("x AS (SELECT least(39, greatest(0, floor((c_acctbal - lo) / ((hi - lo) / 40))))::BIGINT AS bin FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)) SELECT bin, count(*)::BIGINT AS n FROM x GROUP BY bin")
+def histogram_bins(spark, sf):
+    c = table(spark, sf, "customer")
+    ends = c.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    b = F.least(F.lit(39), F.greatest(F.lit(0), F.floor((F.col("c_acctbal") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 40))))
+    return c.crossJoin(F.broadcast(ends)).groupBy(b.cast("long").alias("bin")).agg(F.count("*").alias("n"))  # one row
+
+
+@query(PAIRS + ", h AS (SELECT n_tested, count(*)::BIGINT AS n FROM pairs GROUP BY 1) SELECT n_tested, n, round(n / sum(n) OVER (), 6) AS weight FROM h")
+def weight_distribution(spark, sf):
+    from pyspark.sql import Window as W
+
+    h = pairs(spark, sf).groupBy("n_tested").agg(F.count("*").alias("n"))
+    return h.withColumn("weight", r6(F.col("n") / F.sum("n").over(W.partitionBy())))
+
+
+@query(EV + """, a AS (SELECT DISTINCT prey FROM ev WHERE method = 'A' AND study < '1994-01'), r AS (SELECT DISTINCT prey FROM ev WHERE method = 'R' AND study < '1993-06')
+ SELECT 'both' AS kind, count(*)::BIGINT AS n FROM (SELECT prey FROM a INTERSECT SELECT prey FROM r) UNION ALL SELECT 'either', count(*) FROM (SELECT prey FROM a UNION SELECT prey FROM r)
+ UNION ALL SELECT 'only_a', count(*) FROM (SELECT prey FROM a EXCEPT SELECT prey FROM r) UNION ALL SELECT 'one', count(*) FROM (SELECT a.prey FROM a FULL JOIN r ON a.prey = r.prey WHERE a.prey IS NULL OR r.prey IS NULL)""")
+def set_operations(spark, sf):
+    e = ev(spark, sf)
+    a, r = e.filter("method = 'A' and study < '1994-01'").select("prey").distinct(), e.filter("method = 'R' and study < '1993-06'").select("prey").distinct()
+    one = a.withColumn("x", F.lit(1)).join(r.withColumn("y", F.lit(1)), "prey", "full").filter("x is null or y is null")
+    sets = {"both": a.intersect(r), "either": a.union(r).distinct(), "only_a": a.subtract(r), "one": one}
+    out = [s.agg(F.lit(k).alias("kind"), F.count("*").alias("n")) for k, s in sets.items()]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+# statistics
+
+CONT = EV + """, m AS (SELECT bait, prey, bool_or(method = 'A') AS x, bool_or(method = 'R') AS y FROM ev GROUP BY ALL),
+ t AS (SELECT bait, count(CASE WHEN x AND y THEN 1 END)::BIGINT AS a, count(CASE WHEN x AND NOT y THEN 1 END)::BIGINT AS b, count(CASE WHEN NOT x AND y THEN 1 END)::BIGINT AS c, count(CASE WHEN NOT x AND NOT y THEN 1 END)::BIGINT AS d FROM m GROUP BY bait)"""
+
+
+def contingency(spark, sf) -> DataFrame:
+    m = method_concordance(spark, sf)
+    cell = lambda x, y: F.sum(((F.col("seen_a") == x) & (F.col("seen_r") == y)).cast("long"))
+    return m.groupBy("bait").agg(cell(True, True).alias("a"), cell(True, False).alias("b"), cell(False, True).alias("c"), cell(False, False).alias("d"))
+
+
+@query(CONT + " SELECT bait, a, b, c, d, round(CASE WHEN b * c <> 0 THEN a::DOUBLE * d / (b::DOUBLE * c) WHEN a * d <> 0 THEN 'inf'::DOUBLE END, 6) AS odds_ratio FROM t")
+def fisher_odds(spark, sf):
+    return special.odds_ratio(contingency(spark, sf), "a", "b", "c", "d").withColumn("odds_ratio", r6("odds_ratio"))
+
+
+LF = lambda n: f"lgamma({n} + 1.0)"
+
+
+@query(CONT + f""", k AS (SELECT bait, a, a + b AS row_n, a + c AS col_n, a + b + c + d AS n, unnest(range(greatest(0, (a + b) + (a + c) - (a + b + c + d)), least(a + b, a + c) + 1)) AS x FROM t),
+ l AS (SELECT bait, a, x, {LF('col_n')} - {LF('x')} - {LF('(col_n - x)')} + {LF('(n - col_n)')} - {LF('(row_n - x)')} - {LF('(n - col_n - row_n + x)')} - {LF('n')} + {LF('row_n')} + {LF('(n - row_n)')} AS lp FROM k),
+ h AS (SELECT bait, lp AS here FROM l WHERE x = a) SELECT bait, round(least(1.0, sum(exp(lp))), 6) AS p_value FROM l JOIN h USING (bait) WHERE lp <= here + 1e-7 GROUP BY bait""")
+def fisher_exact(spark, sf):
+    return special.fisher(contingency(spark, sf), "a", "b", "c", "d").select("bait", r6("p_value").alias("p_value"))
+
+
+MW = """v AS (SELECT o_orderstatus AS g, o_totalprice AS v, o_orderpriority IN ('1-URGENT', '2-HIGH') AS f FROM orders), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0 AS r FROM v)"""
+
+
+def priced(spark, sf) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_orderstatus").alias("g"), F.col("o_totalprice").alias("v"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("f"))
+
+
+@query(MW + " SELECT g, count(CASE WHEN f THEN 1 END)::BIGINT AS n1, count(CASE WHEN NOT f THEN 1 END)::BIGINT AS n2, sum(CASE WHEN f THEN r END) - count(CASE WHEN f THEN 1 END) * (count(CASE WHEN f THEN 1 END) + 1) / 2.0 AS u, round((avg(CASE WHEN f THEN v END) - avg(CASE WHEN NOT f THEN v END)) / abs(avg(CASE WHEN NOT f THEN v END)) * 100, 6) AS mean_difference_pct FROM r GROUP BY g")
+def mann_whitney_u(spark, sf):
+    return S.mann_whitney(priced(spark, sf), "v", "f", ["g"]).select("g", "n1", "n2", "u", r6("mean_difference_pct").alias("mean_difference_pct"))
+
+
+@query()
+def mann_whitney_p(spark, sf):
+    return S.mann_whitney(priced(spark, sf), "v", "f", ["g"])
+
+
+@query(MW + " SELECT g, round((sum(CASE WHEN f THEN r END) - count(CASE WHEN f THEN 1 END) * (count(CASE WHEN f THEN 1 END) + 1) / 2.0) / (count(CASE WHEN f THEN 1 END) * count(CASE WHEN NOT f THEN 1 END)), 6) AS auc FROM r GROUP BY g")
+def auc_ranksum(spark, sf):
+    return S.rank_sum_auc(priced(spark, sf).withColumn("y", F.col("f").cast("int")), "v", "y", ["g"]).select("g", r6("auc").alias("auc"))
+
+
+@query(DEG + ", r AS (SELECT deg_pos, deg_neg, rank() OVER (ORDER BY deg_pos) + (count(*) OVER (PARTITION BY deg_pos) - 1) / 2.0 AS x, rank() OVER (ORDER BY deg_neg) + (count(*) OVER (PARTITION BY deg_neg) - 1) / 2.0 AS y FROM deg) SELECT round(corr(x, y), 6) AS spearman, round(corr(deg_pos, deg_neg), 6) AS pearson, count(*)::BIGINT AS n FROM r")
+def spearman_degree(spark, sf):
+    return S.spearman(E.endpoint_degrees(pairs(spark, sf)), "deg_pos", "deg_neg").select(r6("spearman").alias("spearman"), r6("pearson").alias("pearson"), "n")
+
+
+@query(DEG + """, e AS (SELECT deg_pos::DOUBLE AS v, 1 AS k FROM deg UNION ALL SELECT deg_neg, -1 FROM deg), b AS (SELECT v, sum(k) AS k, count(*) AS c FROM e GROUP BY v),
+ a AS (SELECT abs(sum(k) OVER (ORDER BY v)) * (lead(v) OVER (ORDER BY v) - v) AS a, c FROM b) SELECT round(sum(a) / (sum(c) / 2.0), 6) AS wasserstein FROM a""")
+def wasserstein_degree(spark, sf):
+    return S.wasserstein(E.endpoint_degrees(pairs(spark, sf)), "deg_pos", "deg_neg").select(r6("wasserstein").alias("wasserstein"))
+
+
+@query("x AS (SELECT 1) SELECT c_mktsegment, round(avg(c_acctbal), 4) AS mean, count(c_acctbal)::BIGINT AS n, round(stddev_samp(c_acctbal) / sqrt(count(c_acctbal)), 4) AS se FROM customer GROUP BY 1")
+def group_mean_se(spark, sf):
+    return S.group_interval(table(spark, sf, "customer"), "c_acctbal", ["c_mktsegment"]).select("c_mktsegment", F.round("mean", 4).alias("mean"), "n", F.round("se", 4).alias("se"))
+
+
+@query()
+def group_t_interval(spark, sf):
+    return S.group_interval(table(spark, sf, "customer"), "c_acctbal", ["c_mktsegment"])
+
+
+@query(PAIRS + """, w AS (SELECT *, n_tested::DOUBLE / sum(n_tested) OVER (PARTITION BY prey) AS w, (SELECT sum(n_observed)::DOUBLE / sum(n_tested) FROM pairs) AS r FROM pairs)
+ SELECT prey, round(sum(w * (n_observed + (1.0 / 3) * r) / (n_tested + 1.0 / 3)), 6) AS weighted_p, sum(n_tested)::BIGINT AS n_tested FROM w GROUP BY prey""")
+def prey_weighted_prior(spark, sf):
+    return E.prey_weighted_prior(pairs(spark, sf)).select("prey", r6("weighted_p").alias("weighted_p"), "n_tested")
+
+
+@query(POD + ", n AS (SELECT count(DISTINCT prey) AS n FROM ev) SELECT bait, count(*)::BIGINT AS n_partners, round(sum(p) + greatest(0, (SELECT n FROM n) - count(*)) * (SELECT sum(n_observed)::DOUBLE / sum(n_tested) FROM pairs), 4) AS expected_degree FROM pod GROUP BY bait")
+def corrected_degree(spark, sf):
+    n = ev(spark, sf).select("prey").distinct().count()
+    return E.untested_corrected_degree(pod(spark, sf), F.lit(n)).withColumn("expected_degree", F.round("expected_degree", 4))
+
+
+@query("""c AS (SELECT c_nationkey AS id, c_mktsegment AS line, count(*)::DOUBLE AS w, avg(c_acctbal) AS m, coalesce(stddev_pop(c_acctbal), 0) AS s FROM customer GROUP BY ALL)
+ SELECT id, round(sum(w * m) / sum(w), 3) AS mix_mean, round(sqrt(sum(w * (s * s + m * m)) / sum(w) - (sum(w * m) / sum(w)) * (sum(w * m) / sum(w))), 3) AS mix_sd FROM c GROUP BY id""")
+def mixture_moments(spark, sf):
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("id"), F.col("c_mktsegment").alias("line")).agg(F.count("*").cast("double").alias("w"), F.avg("c_acctbal").alias("m"), F.stddev_pop("c_acctbal").alias("s"))
+    return S.mixture(c, "w", "m", "s", ["id"]).select("id", F.round("mix_mean", 3).alias("mix_mean"), F.round(F.sqrt("mix_var"), 3).alias("mix_sd"))
+
+
+@query()
+def node_bootstrap(spark, sf):
+    g = signed(spark, sf).withColumn("flag", (F.col("src") + F.col("dst")) % 3 == 0)
+    return S.node_bootstrap(g, "src", "dst", "flag", "sign", 200)
+
+
+@query(f"""s AS (SELECT c_custkey, c_mktsegment, c_acctbal, rep FROM customer, range(1, 101) t(rep) WHERE {U('c_custkey', 'rep', '1')} < 0.8), m AS (SELECT c_mktsegment, rep, avg(c_acctbal) AS m FROM s GROUP BY ALL)
+ SELECT c_mktsegment, round(quantile_cont(m, 0.025), 3) AS lo, round(quantile_cont(m, 0.975), 3) AS hi, count(*)::BIGINT AS replicates FROM m GROUP BY 1""")
+def subsample_interval(spark, sf):
+    out = S.subsample_interval(table(spark, sf, "customer"), "c_custkey", "c_mktsegment", "c_acctbal", 100, 0.8)
+    return out.select("c_mktsegment", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"), "replicates")
+
+
+# graphs
+
+
+@query(SIGNED + " SELECT src, dst, sign FROM sg")
+def signed_edges(spark, sf):
+    return signed(spark, sf)
+
+
+_PRUNE = "".join(f", p{i} AS (SELECT * FROM p{i - 1} WHERE src IN (SELECT v FROM (SELECT src AS v, sign FROM p{i - 1} UNION ALL SELECT dst, sign FROM p{i - 1}) GROUP BY v HAVING count(DISTINCT sign) = 2) AND dst IN (SELECT v FROM (SELECT src AS v, sign FROM p{i - 1} UNION ALL SELECT dst, sign FROM p{i - 1}) GROUP BY v HAVING count(DISTINCT sign) = 2))" for i in range(1, 9))
+
+
+@query(SIGNED + ", p0 AS (SELECT * FROM sg)" + _PRUNE + " SELECT src, dst, sign FROM p8")
+def exclusive_prune(spark, sf):
+    return G.exclusive_prune(signed(spark, sf))
+
+
+@query(SIGNED + ", v AS (SELECT src AS v FROM sg WHERE sign = 1 UNION SELECT dst FROM sg WHERE sign = 1) SELECT x.v AS src, y.v AS dst FROM v x JOIN v y ON x.v < y.v WHERE NOT EXISTS (SELECT 1 FROM sg WHERE sign = 1 AND src = x.v AND dst = y.v)")
+def complement_edges(spark, sf):
+    return G.complement_edges(signed(spark, sf).filter("sign = 1"))
+
+
+@query(SIGNED + f""", e AS (SELECT * FROM sg WHERE sign = 1), d AS (SELECT v, count(*) AS d FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e) GROUP BY v)
+ SELECT x.v AS src, y.v AS dst FROM d x JOIN d y ON x.v < y.v WHERE NOT EXISTS (SELECT 1 FROM e WHERE src = x.v AND dst = y.v) AND {U('x.v', 'y.v', '1')} < x.d * y.d / (SELECT sum(d) FROM d)""")
+def random_negatives(spark, sf):
+    return G.random_negatives(signed(spark, sf).filter("sign = 1"))
+
+
+@query(SIGNED + ", d AS (SELECT v AS node, count(CASE WHEN sign = 1 THEN 1 END)::BIGINT AS deg_pos, count(CASE WHEN sign = 0 THEN 1 END)::BIGINT AS deg_neg FROM (SELECT src AS v, sign FROM sg UNION ALL SELECT dst, sign FROM sg) GROUP BY v) SELECT *, abs(deg_pos - deg_neg) AS divergence FROM d")
+def degree_divergence(spark, sf):
+    return G.degree_divergence(signed(spark, sf))
+
+
+@query()
+def balance_degrees(spark, sf):
+    return G.balance_degrees(signed(spark, sf).withColumn("network_id", F.lit("all")))
+
+
+@query(SIGNED + f", s AS (SELECT *, {U('src', '1')} < 0.3 AS x, {U('dst', '1')} < 0.3 AS y FROM sg) SELECT src, dst, sign, CASE WHEN x THEN 'test' ELSE 'train' END AS split FROM s WHERE x = y")
+def node_split(spark, sf):
+    return G.node_split(signed(spark, sf), fraction=0.3)
+
+
+@query(SIGNED + f" SELECT src, dst, sign, rep::INT AS replicate FROM sg, range(1, 4) t(rep) WHERE {U('src', 'dst', 'rep', '1')} < 0.95")
+def permuted_networks(spark, sf):
+    return G.permuted(signed(spark, sf), 3)
+
+
+@query(SIGNED + f""", e AS (SELECT *, (src % 2)::VARCHAR AS network_id FROM sg), z AS (SELECT network_id, sign, count(*) AS n FROM e GROUP BY ALL)
+ SELECT src, dst, sign, network_id FROM e JOIN z USING (network_id, sign) WHERE {U('src', 'dst', '1')} < (SELECT min(n) * 1.05::DOUBLE FROM z) / n""")
+def equalise_networks(spark, sf):
+    return G.equalise(signed(spark, sf).withColumn("network_id", (F.col("src") % 2).cast("string"))).select("src", "dst", "sign", "network_id")
+
+
+# learning
+
+
+def vector_edges(spark, sf) -> DataFrame:
+    """Neighbouring vectors by id; equal labels are positive."""
+    v = table(spark, sf, "embeddings").select("vec_id", "label")
+    steps = v.withColumn("dst", F.explode(F.array(*[F.col("vec_id") + k for k in (1, 2, 3, 5, 8, 13)])))
+    return steps.join(v.select(F.col("vec_id").alias("dst"), F.col("label").alias("l2")), "dst").select(F.col("vec_id").alias("src"), "dst", (F.col("label") == F.col("l2")).cast("int").alias("y"))
+
+
+VE = "e AS (SELECT a.vec_id AS src, b.vec_id AS dst, (a.label = b.label)::INT AS y, a.embedding AS x, b.embedding AS z FROM embeddings a JOIN embeddings b ON b.vec_id - a.vec_id IN (1, 2, 3, 5, 8, 13))"
+
+
+@query(VE + " SELECT src, dst, y, false AS flipped, round(list_sum(list_transform(x || z, lambda v: v::DOUBLE)), 3) AS total, len(x || z)::BIGINT AS width FROM e UNION ALL SELECT dst, src, y, true, round(list_sum(list_transform(z || x, lambda v: v::DOUBLE)), 3), len(x || z) FROM e")
+def pair_features(spark, sf):
+    f = L.pair_features(vector_edges(spark, sf), table(spark, sf, "embeddings"), "vec_id", "embedding", symmetrise=True)
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return f.select("src", "dst", "y", "flipped", F.round(total, 3).alias("total"), F.size("features").cast("long").alias("width"))
+
+
+def _classified(spark, sf, kind: str, **params) -> DataFrame:
+    f = L.pair_features(vector_edges(spark, sf), table(spark, sf, "embeddings"), "vec_id", "embedding")
+    model = L.train_classifier(f.filter(S.hash_unit("src" and F.col("src")) >= 0.2), "y", kind, **params)
+    out = L.scored(model, f.filter(S.hash_unit(F.col("src")) < 0.2)).withColumn("key", F.concat_ws("_", "src", "dst"))
+    return L.evaluate(out, "y", "score", "key")
+
+
+@query()
+def forest_evaluation(spark, sf):
+    return _classified(spark, sf, "forest", numTrees=20)
+
+
+@query()
+def boosted_evaluation(spark, sf):
+    return _classified(spark, sf, "boosted", maxIter=5)
+
+
+@query(VE + """, s AS (SELECT src, dst, round(list_sum(list_transform(list_zip(x, z), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) AS s FROM e), k AS (SELECT src AS id, s FROM s UNION ALL SELECT dst, s FROM s) SELECT id, round(avg(s), 3) AS mean_similarity, count(*)::BIGINT AS n FROM k GROUP BY id""")
+def train_similarity(spark, sf):
+    v = table(spark, sf, "embeddings")
+    f = vector_edges(spark, sf).join(v.select(F.col("vec_id").alias("src"), F.col("embedding").alias("x")), "src").join(v.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("z")), "dst")
+    dot = F.round(F.aggregate(F.zip_with("x", "z", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b), 4)
+    ends = f.select(F.explode(F.array("src", "dst")).alias("id"), dot.alias("s"))
+    return ends.groupBy("id").agg(F.round(F.avg("s"), 3).alias("mean_similarity"), F.count("*").alias("n"))
