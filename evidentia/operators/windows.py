@@ -35,7 +35,7 @@ def reverse_cumulative(df: DataFrame, key: str, level: str) -> DataFrame:
     """Per key and level 1..highest: how many rows have that level or more; missing levels are filled in."""
     most = df.agg(F.max(level)).alias("m")
     n = df.groupBy(key, level).agg(F.count("*").alias("n"))
-    grid = df.select(key).distinct().crossJoin(F.broadcast(most.toDF("m"))).select(key, F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).cast("long").alias(level))  # one row
+    grid = df.select(key).distinct().crossJoin(F.broadcast(most.toDF("m"))).select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m").cast("long"))).alias(level))  # one row
     full = grid.join(n, [key, level], "left").fillna(0, ["n"])
     return full.select(key, level, F.sum("n").over(W.partitionBy(key).orderBy(F.desc(level))).alias("n_at_least"))
 

@@ -72,6 +72,13 @@ def signed(spark, sf) -> DataFrame:
     return s.withColumn("sign", F.when(F.col("n_shared") > F.col("hi"), 1).when(F.col("n_shared") < F.col("lo"), 0)).filter("sign is not null").select(F.col("x").alias("src"), F.col("y").alias("dst"), "sign")
 
 
+def mixed(spark, sf) -> DataFrame:
+    """A bipartite signed graph: large lines of a supplier and part, returned (1) or accepted (0) and never both."""
+    line = table(spark, sf, "lineitem").filter("l_quantity > 40 and l_returnflag in ('A', 'R')")
+    e = line.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.min("l_returnflag").alias("x"), F.max("l_returnflag").alias("y"))
+    return e.filter("x = y").select("src", "dst", F.when(F.col("x") == "R", 1).otherwise(0).alias("sign"))
+
+
 EV = "ev AS (SELECT DISTINCT l_suppkey AS bait, l_partkey AS prey, strftime(l_shipdate, '%Y-%m') AS study, l_returnflag AS method FROM lineitem)"
 PAIRS = EV + """, pairs AS (SELECT b.bait, p.prey, count(*)::BIGINT AS n_tested, count(e.bait)::BIGINT AS n_observed
  FROM (SELECT DISTINCT study, method, bait FROM ev) b JOIN (SELECT DISTINCT study, method, prey FROM ev) p USING (study, method)
@@ -89,6 +96,7 @@ SIGNED = BRAND + """, bs AS (SELECT DISTINCT bait, study FROM bp WHERE method =
  LEFT JOIN (SELECT a.bait AS x, b.bait AS y, count(*) AS n FROM bs a JOIN bs b USING (study) WHERE a.bait < b.bait GROUP BY ALL) s ON s.x = x.bait AND s.y = y.bait),
  sg AS (SELECT x AS src, y AS dst, CASE WHEN n_shared > (SELECT quantile_cont(n_shared, 0.9) FROM sh) THEN 1 ELSE 0 END AS sign FROM sh
  WHERE n_shared > (SELECT quantile_cont(n_shared, 0.9) FROM sh) OR n_shared < (SELECT quantile_cont(n_shared, 0.1) FROM sh))"""
+MIXED = "sg AS (SELECT l_suppkey AS src, l_partkey AS dst, CASE WHEN min(l_returnflag) = 'R' THEN 1 ELSE 0 END AS sign FROM lineitem WHERE l_quantity > 40 AND l_returnflag IN ('A', 'R') GROUP BY 1, 2 HAVING min(l_returnflag) = max(l_returnflag))"
 U = lambda *k: "(('0x' || substr(md5(concat_ws('_', " + ", ".join(f"({x})::VARCHAR" for x in k) + ")), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
 r6 = lambda c: F.round(c, 6)
 
@@ -255,7 +263,7 @@ def shared_study_pairs(spark, sf):
     return E.shared_members(ev(spark, sf), "bait", "prey")
 
 
-@query(EV + """, n AS (SELECT study, method, bait, prey, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY study, method) AS share FROM ev GROUP BY ALL),
+@query(EV + """, n AS (SELECT study, method, bait, prey, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY study, method) AS share FROM ev GROUP BY study, method, bait, prey),
  s AS (SELECT prey, bait, sum(share) AS s FROM n GROUP BY ALL), p AS (SELECT *, s / sum(s) OVER (PARTITION BY prey) AS p FROM s)
  SELECT prey, round(-sum(p * ln(p)), 6) AS entropy, round(max(p), 6) AS max_share FROM p GROUP BY prey""")
 def prey_entropy(spark, sf):
@@ -553,9 +561,9 @@ def signed_edges(spark, sf):
 _PRUNE = "".join(f", p{i} AS (SELECT * FROM p{i - 1} WHERE src IN (SELECT v FROM (SELECT src AS v, sign FROM p{i - 1} UNION ALL SELECT dst, sign FROM p{i - 1}) GROUP BY v HAVING count(DISTINCT sign) = 2) AND dst IN (SELECT v FROM (SELECT src AS v, sign FROM p{i - 1} UNION ALL SELECT dst, sign FROM p{i - 1}) GROUP BY v HAVING count(DISTINCT sign) = 2))" for i in range(1, 9))
 
 
-@query(SIGNED + ", p0 AS (SELECT * FROM sg)" + _PRUNE + " SELECT src, dst, sign FROM p8")
+@query(MIXED + ", p0 AS (SELECT * FROM sg)" + _PRUNE + " SELECT src, dst, sign FROM p8")
 def exclusive_prune(spark, sf):
-    return G.exclusive_prune(signed(spark, sf))
+    return G.exclusive_prune(mixed(spark, sf))
 
 
 @query(SIGNED + ", v AS (SELECT src AS v FROM sg WHERE sign = 1 UNION SELECT dst FROM sg WHERE sign = 1) SELECT x.v AS src, y.v AS dst FROM v x JOIN v y ON x.v < y.v WHERE NOT EXISTS (SELECT 1 FROM sg WHERE sign = 1 AND src = x.v AND dst = y.v)")
@@ -576,7 +584,7 @@ def degree_divergence(spark, sf):
 
 @query()
 def balance_degrees(spark, sf):
-    return G.balance_degrees(signed(spark, sf).withColumn("network_id", F.lit("all")))
+    return G.balance_degrees(mixed(spark, sf).withColumn("network_id", F.lit("all")))
 
 
 @query(SIGNED + f", s AS (SELECT *, {U('src', '1')} < 0.3 AS x, {U('dst', '1')} < 0.3 AS y FROM sg) SELECT src, dst, sign, CASE WHEN x THEN 'test' ELSE 'train' END AS split FROM s WHERE x = y")
@@ -632,10 +640,10 @@ def boosted_evaluation(spark, sf):
     return _classified(spark, sf, "boosted", maxIter=5)
 
 
-@query(VE + """, s AS (SELECT src, dst, round(list_sum(list_transform(list_zip(x, z), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) AS s FROM e), k AS (SELECT src AS id, s FROM s UNION ALL SELECT dst, s FROM s) SELECT id, round(avg(s), 3) AS mean_similarity, count(*)::BIGINT AS n FROM k GROUP BY id""")
+@query(VE + """, s AS (SELECT src, dst, round(list_sum(list_transform(list_zip(x, z), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) AS s FROM e), k AS (SELECT src AS id, s FROM s UNION ALL SELECT dst, s FROM s) SELECT id, round(sum(round(s * 10000)::BIGINT) / count(*)) / 10000.0 AS mean_similarity, count(*)::BIGINT AS n FROM k GROUP BY id""")
 def train_similarity(spark, sf):
     v = table(spark, sf, "embeddings")
     f = vector_edges(spark, sf).join(v.select(F.col("vec_id").alias("src"), F.col("embedding").alias("x")), "src").join(v.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("z")), "dst")
     dot = F.round(F.aggregate(F.zip_with("x", "z", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b), 4)
     ends = f.select(F.explode(F.array("src", "dst")).alias("id"), dot.alias("s"))
-    return ends.groupBy("id").agg(F.round(F.avg("s"), 3).alias("mean_similarity"), F.count("*").alias("n"))
+    return ends.groupBy("id").agg((F.round(F.sum(F.round(F.col("s") * 10000).cast("long")) / F.count("*")) / 10000.0).alias("mean_similarity"), F.count("*").alias("n"))
