@@ -640,7 +640,7 @@ def boosted_evaluation(spark, sf):
     return _classified(spark, sf, "boosted", maxIter=5)
 
 
-@query(VE + """, s AS (SELECT src, dst, round(list_sum(list_transform(list_zip(x, z), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) AS s FROM e), k AS (SELECT src AS id, s FROM s UNION ALL SELECT dst, s FROM s) SELECT id, round(sum(round(s * 10000)::BIGINT) / count(*)) / 10000.0 AS mean_similarity, count(*)::BIGINT AS n FROM k GROUP BY id""")
+@query(VE + """, s AS (SELECT src, dst, round(list_sum(list_transform(list_zip(x, z), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) AS s FROM e), k AS (SELECT src AS id, s FROM s UNION ALL SELECT dst, s FROM s) SELECT id, round(sum(round(s * 10000)::BIGINT) / count(*))::BIGINT / 10000.0 AS mean_similarity, count(*)::BIGINT AS n FROM k GROUP BY id""")
 def train_similarity(spark, sf):
     v = table(spark, sf, "embeddings")
     f = vector_edges(spark, sf).join(v.select(F.col("vec_id").alias("src"), F.col("embedding").alias("x")), "src").join(v.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("z")), "dst")
