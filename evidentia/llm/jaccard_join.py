@@ -41,7 +41,9 @@ def _sets(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray]]:
     for first, held in wordhash.batches(texts):
         doc, h, *_ = wordhash.words(held)
         at, sh = wordhash.shingles(doc, h, len(held), width)
-        edges = np.flatnonzero(np.diff(np.concatenate(([-1], at)))) if len(at) else []
+        if not len(at):
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate(([-1], at))))
         for a, b in zip(edges, [*edges[1:], len(at)], strict=True):
             own = np.sort(sh[a:b])
             yield first + int(at[a]), own[np.concatenate(([True], own[1:] != own[:-1]))]
@@ -287,11 +289,12 @@ def deduplicate(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     found, named = grouped(docs, percent, width)
     best = found.filter("n > 0").join(named.select("cls", "c"), "cls").groupBy("c").agg(F.min(F.struct(key.alias("id"), "th")).alias("k"))
-    stays = best.select("k.id", F.col("k.th").alias("_th"))
+    stays = best.select(F.col("k.id").alias("_k"), F.col("k.th").alias("_t"))
     wordy = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    kept = docs.filter(wordy).withColumn("_id", key).withColumn("_h", F.xxhash64("text"))
-    kept = kept.join(stays, (F.col("_id") == F.col("id")) & (F.col("_h") == F.col("_th"))).dropDuplicates(["_id", "_h"])
-    return kept.select(*docs.columns).unionByName(docs.filter(~wordy))
+    # the row as one struct: no name of the documents can clash with these
+    kept = docs.filter(wordy).select(F.struct(*docs.columns).alias("_row"), key.alias("_id"), F.xxhash64("text").alias("_h"))
+    kept = kept.join(stays, (F.col("_id") == F.col("_k")) & (F.col("_h") == F.col("_t"))).dropDuplicates(["_id", "_h"])
+    return kept.select("_row.*").unionByName(docs.filter(~wordy))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
