@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import wordhash
-from evidentia.llm.common import WORD, key_filter, materialize, passes, ship
+from evidentia.llm.common import WORD, discard, key_filter, materialize, passes, ship
 from evidentia.llm.graph import components
 
 #: The sketch has as many counters as this to 2**MOST_BITS: 64 MB of one-byte levels at most are broadcast.
@@ -229,8 +229,8 @@ def grouped(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFra
     bits = min(MOST_BITS, max(LEAST_BITS, (2 * docs.count()).bit_length()))
     levels = spark.sparkContext.broadcast(rarity(docs.select("text"), bits, width))
     found = docs.mapInArrow(_prefixes(levels, width, percent), "doc_id long, n long, cls long, low long, common int, sig binary, toks array<long>, th long")
-    found = materialize(found, "prefixes")
-    some = found.filter("n > 0")
+    prefixes = materialize(found, "prefixes")
+    some = prefixes.filter("n > 0")
     classes = materialize(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("common").alias("common"), F.first("sig").alias("sig")), "classes")
 
     # the matrix: only tokens of two classes or more can open anything
@@ -240,6 +240,8 @@ def grouped(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFra
     kept = some.select("cls", "n", "common", "toks").mapInArrow(_marked(marks, mark_bits), "cls long, n long, common int, pos int, token long")
     probe = kept.join(shared, "token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("common").alias("common"))
     probe = materialize(probe, "probe")
+    found = materialize(prefixes.select("doc_id", "n", "cls", "th"), "sets")
+    discard(prefixes, shared)
 
     # groups: classes link to leaders, the most typical of those with the same smallest shingle, or with a shared token
     order = F.xxhash64("cls")
@@ -254,18 +256,19 @@ def grouped(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFra
     links = verify(materialize(_ordered(alike.unionByName(near)), "pairs"), docs, classes, width, percent)
     groups = components(links)
 
-    probe = _in_groups(probe.drop("common"), groups, "cls", "g")
+    probe_table, probe = probe, _in_groups(probe.drop("common"), groups, "cls", "g")
     index = probe.filter(F.col("pos") < F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}") + 1)
     matrix = index.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     needed = lambda a, b: F.expr(f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}")  # noqa: E731  the overlap that links sizes a and b
     smallest = f"greatest(least, ({percent} * n + 99) div 100)"
     bound = (F.least(F.col("n") - F.col("pos"), "rest") >= needed("n", smallest)) & (F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
-    opened = probe.join(matrix, "token").filter((F.col("g") != F.col("h")) & bound).select("cls", "h").distinct()
-    asks = probe.select("token", F.col("cls").alias("a"), "n", "pos", F.col("cls")).join(opened, "cls").drop("cls")
+    # a pair that shares a token and may link meets the bound of the partner's group at that very token: no other is opened
+    asks = probe.join(matrix, "token").filter((F.col("g") != F.col("h")) & bound).select("token", "h", F.col("cls").alias("a"), "n", "pos")
     inside = index.select("token", F.col("g").alias("h"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("pos").alias("p"))
     near = (F.col("m") <= F.col("n")) & (100 * F.col("m") >= percent * F.col("n")) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("p")) >= needed("n", "m"))
     more = asks.join(inside, ["token", "h"]).filter(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = materialize(more, "candidates")
+    discard(probe_table)
     if more.head(1):
         groups = components(links.unionByName(verify(more, docs, classes, width, percent)))
 
