@@ -95,6 +95,18 @@ def _dealt(cuts: np.ndarray):
     return run
 
 
+def _least(cuts: np.ndarray):
+    """Per range between ``cuts``, the smallest id of a batch."""
+
+    def run(batches):
+        for batch in batches:
+            k = np.sort(np.array([_FIRST if x is None else x for x in batch.column(0).to_pylist()], np.int64))
+            part, first = np.unique(np.searchsorted(cuts, k, "right") - 1, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(k[first])], ["part", "k"])
+
+    return run
+
+
 def _compared(batches):
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -131,7 +143,11 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     ranges = min(MOST_RANGES, max(1, n // PER_RANGE))
     inner = docs.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
     first = _FIRST if nulls or least is None else least
-    cuts = np.array(sorted({first, *(int(x) for x in inner)}), np.int64)
+    # quantiles are doubles, which hold no long beyond 2^53 exactly; the smallest id of each range is one that occurs
+    near = np.array(sorted({first, *(min(max(int(x), first), -_FIRST - 1) for x in inner)}), np.int64)
+    if ranges > 1:
+        starts = docs.select("doc_id").mapInArrow(_least(near), "part int, k long").groupBy("part").agg(F.min("k").alias("k")).collect()
+    cuts = np.array(sorted(r["k"] for r in starts), np.int64) if ranges > 1 else near
     dealt = docs.mapInArrow(_dealt(cuts), "part int, tail boolean, k long, doc_id long, text string")
     order = dealt.repartition("part").sortWithinPartitions("part", "tail", "k", F.xxhash64("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -149,6 +149,16 @@ def test_fingerprints_digest(spark, texts):
         assert abs(rows[d]["near_next"] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-9
 
 
+def test_fingerprints_of_ids_beyond_doubles(spark):
+    ids = sorted({int(x) for x in np.random.default_rng(5).integers(-(2**62), 2**63 - 1, 20_000)} | {2**63 - 1 - i for i in range(3000)})
+    text = {d: f"w{d % 977} " * 3 + f"x{d}" for d in ids}
+    rows = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprint(rows).select("doc_id", "edited_sha256").collect()}
+    assert len(got) == len(ids)
+    for d, nxt in zip(ids, [*ids[1:], ids[0]], strict=True):
+        assert got[d] == hashlib.sha256(fingerprints.edited(text[d], text[nxt]).encode()).hexdigest()
+
+
 def test_preferences_round_trip(spark):
     turns = defaultdict(list)
     for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
