@@ -1,18 +1,23 @@
-"""Line dedup by content-defined line chunks.
+"""Line dedup by anchored passages.
 
-Lines are the text's own, wrapped further after words that their hash chooses, so a passage has the same lines
-wherever it stands and however long its line is. A rolling hash over the last two line hashes is taken at every
-line; its local minima end chunks, so chunks have two lines or more and find their boundaries again right behind
-an insertion. A chunk seen before anywhere (smallest doc_id, then place) is removed after its bytes have been
-compared with the first one's, where ``min_words`` or more neighbouring words go together.
+A text's runs of GRAM words, white space included, are hashed; the smallest hash among SPAN neighbouring runs is an
+anchor. The choice depends on the words around alone, so two equal passages of GRAM + SPAN - 1 = 49 words or more have
+an anchor in common, wherever they stand. Where an anchor occurred before anywhere (smallest doc_id, then place), the
+bytes around it are compared with those around the first one, and the match reaches from the anchor to the left and to
+the right as far as whole words are equal, up to SPAN - 1 words: the ends of a passage lie no farther from an anchor.
+What is equal goes, where ``min_words`` or more neighbouring words go together; a match never overlaps its origin.
+
+Only the first occurrence of an anchor is compared. Shorter repeats go where they have an anchor in common.
 
 Defined cases: null texts stay null; empty texts stay empty; rows of an equal id count as one document, so repeated
 rows all keep what the first occurrence keeps; null ids come last and count as one document; other columns, whatever
-their names, pass unchanged; texts of any length are chunked whole; empty tables give no rows.
+their names, pass unchanged; texts of any length are taken whole; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,54 +26,74 @@ from pyspark.sql import functions as F
 from evidentia.llm import wordhash
 from evidentia.llm.common import key_filter, materialize, passes, ship
 
-#: Words of a wrapped line, on average.
-WRAP = 3
+#: Words of an anchor, and neighbouring runs of words of which one is an anchor.
+GRAM, SPAN = 12, 38
 _NO_ID = (1 << 63) - 1
+_GAP, _TORN = re.compile(rb"[ \t-\r]*"), re.compile(rb"[^ \t-\r]*\Z")
+
 
+def _slide(pick, v: np.ndarray, width: int) -> np.ndarray:
+    """``pick`` (minimum or maximum) over each ``width`` neighbours."""
+    have = 1
+    while 2 * have <= width:
+        v = pick(v[:-have], v[have:])
+        have *= 2
+    return pick(v[: len(v) - (width - have)], v[width - have :]) if width > have else v
 
-def chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of all texts, in order: the text's index, hash, first and last byte, words of each chunk, and whether it has two lines."""
+
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of all texts, in order: the text's index, hash, first byte of each anchor; first and last byte of what may match around it."""
     doc, h, s, e, data = wordhash.words(texts, lower=False)
     n = len(h)
-    if not n:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    breaks = np.concatenate(([0], np.cumsum(data == 10)))
-    ends = (h % wordhash.U(WRAP)) == 0
-    ends[:-1] |= breaks[s[1:]] > breaks[e[:-1]]
-    ends[-1] = True
-    last = np.flatnonzero(ends)
-    first = np.concatenate(([0], last[:-1] + 1))
-    sums = np.zeros(n + 1, wordhash.U)
-    np.cumsum(h * wordhash.powers(wordhash._R, n), out=sums[1:])
-    line = wordhash.mix((sums[last + 1] - sums[first]) * wordhash.powers(wordhash._RI, n)[first] + (last - first).astype(wordhash.U))
-    of = doc[first]
-    m = len(line)
-    before = np.concatenate(([0], line[:-1])).astype(wordhash.U)
-    before[np.concatenate(([True], of[1:] != of[:-1]))] = 0
-    rolled = wordhash.mix(line * wordhash._STEPS[0] + before * wordhash._STEPS[1])
-    new = np.concatenate(([True], of[1:] != of[:-1]))
-    left = np.concatenate(([0], rolled[:-1])).astype(wordhash.U)
-    left[new] = 0  # the first line of a text ends no chunk
-    right = np.concatenate((rolled[1:], [0])).astype(wordhash.U)
-    cut = (rolled < left) & (rolled < right)
-    cut |= np.concatenate((new[1:], [True]))
-    stop = np.flatnonzero(cut)
-    start = np.concatenate(([0], stop[:-1] + 1))
-    total = np.zeros(m + 1, wordhash.U)
-    np.cumsum(line * wordhash.powers(wordhash._R, m), out=total[1:])
-    key = wordhash.mix((total[stop + 1] - total[start]) * wordhash.powers(wordhash._RI, m)[start] + (stop - start).astype(wordhash.U) * wordhash._STEPS[2])
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    where = of[start]
-    return where, key.astype(np.int64), s[first[start]] - begins[where], e[last[stop]] - begins[where], last[stop] - first[start] + 1, stop > start
+    ends = np.searchsorted(doc, np.arange(len(texts)), "right")
+    m = n - GRAM + 1
+    if m <= 0:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    # each word with the white space before it, but for the first of a run
+    sums = np.concatenate(([0], np.cumsum(data, dtype=wordhash.U)))
+    gap = np.zeros(n, wordhash.U)
+    lo, hi = e[:-1], s[1:]
+    gap[1:] = sums[hi] - sums[lo] + (data[lo].astype(wordhash.U) << wordhash.U(24)) + ((hi - lo).astype(wordhash.U) << wordhash.U(32))
+    steps = wordhash.powers(wordhash._R, n)
+    total = np.zeros(n + 1, wordhash.U)
+    np.cumsum((h + gap * wordhash._STEPS[0]) * steps, out=total[1:])
+    v = (total[GRAM:] - total[:m]) * wordhash.powers(wordhash._RI, n)[:m] - gap[:m] * wordhash._STEPS[0]
+    v = wordhash.mix(v)
+    top = wordhash.U((1 << 64) - 1)
+    whole = doc[:m] == doc[GRAM - 1 :]
+    v[~whole] = top
+    first = np.searchsorted(doc, np.arange(len(texts)))
+    runs = ends - first - GRAM + 1
+    best = np.zeros(m, wordhash.U)
+    if m >= SPAN:  # of each run, the largest of the minima of the spans that hold it and lie inside a text
+        least = _slide(np.minimum, v, SPAN)
+        least[doc[: len(least)] != doc[SPAN + GRAM - 2 :]] = 0
+        rim = np.zeros(SPAN - 1, wordhash.U)
+        best = _slide(np.maximum, np.concatenate((rim, least, rim)), SPAN)
+    # a text shorter than a span is one
+    few = np.flatnonzero((runs > 0) & (runs < SPAN))
+    if len(few):
+        own = np.minimum.reduceat(np.append(v, top), np.stack((first[few], first[few] + runs[few]), 1).ravel())[::2]
+        smallest = np.zeros(len(texts), wordhash.U)
+        smallest[few] = own
+        best = np.maximum(best, smallest[doc[:m]])
+    at = np.flatnonzero((best == v) & whole)
+    # of equal runs that follow each other closely, as in periods, one in half a span stays
+    new = np.concatenate(([True], (v[at][1:] != v[at][:-1]) | (doc[at][1:] != doc[at][:-1])))
+    step = (at - at[np.flatnonzero(new)][np.cumsum(new) - 1]) // (SPAN // 2) if len(at) else at
+    at = at[new | np.concatenate(([True], step[1:] != step[:-1]))[: len(at)]]
+    of = doc[at]
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1][of]
+    a, b = np.maximum(at - SPAN + 1, first[of]), np.minimum(at + GRAM + SPAN - 1, ends[of]) - 1
+    return of, v[at].astype(np.int64), s[at] - begins, s[a] - begins, e[b] - begins
 
 
 def _keys(batches):
     for batch in batches:
         ids = np.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
         for at, held in wordhash.batches(wordhash.encoded(batch.column(1))):
-            where, key, _, _, _, two = chunks(held)
-            where = where[two]
-            yield pa.RecordBatch.from_arrays([pa.array(key[two]), pa.array(ids[at:][where] if len(where) else np.zeros(0, np.int64))], ["h", "keep"])
+            where, key, *_ = anchors(held)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at:][where] if len(where) else np.zeros(0, np.int64))], ["h", "keep"])
 
 
 def _occurrences(marks, bits: int):
@@ -78,22 +103,48 @@ def _occurrences(marks, bits: int):
             ids = [_NO_ID if x is None else x for x in batch.column(0).to_pylist()]
             th, texts = batch.column(1).to_pylist(), wordhash.encoded(batch.column(2))
             for at, held in wordhash.batches(texts):
-                where, key, a, b, _, two = chunks(held)
-                hit = two.astype(bool) & passes(seen, bits, key)
-                place = np.arange(len(where)) - np.searchsorted(where, where)
-                out: list[list] = [[] for _ in range(6)]
+                where, key, mid, a, b = anchors(held)
+                out: list[list] = [[] for _ in range(7)]
                 met: set = set()
-                for i in np.flatnonzero(hit).tolist():
-                    w, k = int(where[i]), int(key[i])
-                    for column, x in zip(out, (k, ids[at + w], th[at + w], int(place[i]), held[w][a[i] : b[i]], (w, k) not in met), strict=True):
+                for i in np.flatnonzero(passes(seen, bits, key)).tolist():
+                    w, k, p = int(where[i]), int(key[i]), int(mid[i])
+                    for column, x in zip(out, (k, ids[at + w], th[at + w], p, held[w][a[i] : p], held[w][p : b[i]], (w, k) not in met), strict=True):
                         column.append(x)
                     met.add((w, k))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "id", "th", "place", "bytes", "first"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "id", "th", "place", "before", "bytes", "first"])
 
     return run
 
 
+def reach(a: bytes, b: bytes, most: int | None = None) -> int:
+    """Bytes of the longest common beginning of whole words, ``most`` at most."""
+    n = min(len(a), len(b)) if most is None else min(len(a), len(b), most)
+    x, y = a[:n], b[:n]
+    if x != y:
+        n -= ((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) // 8
+        x = x[:n]
+    if not all(len(t) == n or t[n] in b" \t\n\v\f\r" for t in (a, b)):
+        x = x[: _TORN.search(x).start()]
+    return len(x.rstrip(b" \t\n\v\f\r"))
+
+
+def _matches(batches):
+    """Begin and end, in bytes of the text, of what is equal around an anchor and its first occurrence."""
+    for batch in batches:
+        names = ["id", "th", "place", "before", "bytes", "_same", "_place", "_before", "_bytes"]
+        out: list[list] = [[] for _ in range(4)]
+        for doc, th, place, before, here, same, place0, before0, here0 in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in names), strict=True):
+            most = place - place0 if same else None
+            right = reach(here, here0, most)
+            if len(here[:right].split()) < GRAM:
+                continue  # other words of the same hash, or a run that overlaps itself
+            left = reach(before[::-1], before0[::-1], None if most is None else most - right)
+            for column, x in zip(out, (doc, th, place - left, place + right), strict=True):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "th", "a", "b"])
+
+
 def _without(min_words: int):
     def run(batches):
         for batch in batches:
@@ -103,17 +154,19 @@ def _without(min_words: int):
             for i, text in enumerate(raw):
                 words = 0
                 if gone[i]:
-                    _, _, a, b, n, _ = chunks([text])
-                    kept, at, run_of, flagged = [], 0, [], set(gone[i])
-                    for c in range(len(a) + 1):
-                        if c in flagged:
-                            run_of.append(c)
-                        elif run_of:
-                            if (size := int(n[run_of].sum())) >= min_words:
-                                words += size
-                                kept.append(text[at : a[run_of[0]]])
-                                at = int(a[c]) if c < len(a) else len(text)
-                            run_of = []
+                    spans: list[list[int]] = []  # begin of the first word, begin of the next word that stays
+                    for a, b in sorted((g["a"], g["b"]) for g in gone[i]):
+                        b = _GAP.match(text, b).end()
+                        if spans and a <= spans[-1][1]:
+                            spans[-1][1] = max(b, spans[-1][1])
+                        else:
+                            spans.append([a, b])
+                    kept, at = [], 0
+                    for a, b in spans:
+                        if (size := len(text[a:b].split())) >= min_words:
+                            words += size
+                            kept.append(text[at:a])
+                            at = b
                     if words:
                         text = b"".join([*kept, text[at:]])
                         text = text if text.strip() else b""
@@ -124,22 +177,24 @@ def _without(min_words: int):
     return run
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``id, th, place``: chunks that occur earlier too and have the same bytes there."""
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """``id, th, a, b``: bytes from a to b of the text that stand somewhere earlier too."""
     pairs = docs.select("doc_id", "text").mapInArrow(_keys, "h long, keep long")
     again = materialize(pairs.groupBy("h").agg(F.count("*").alias("n"), F.min("keep").alias("keep")).filter("n > 1").select("h", "keep"), "repeated")
     marks, bits = key_filter(again.select("h"), again.count())
-    found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_occurrences(marks, bits), "h long, id long, th long, place int, bytes binary, first boolean")
+    found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_occurrences(marks, bits), "h long, id long, th long, place int, before binary, bytes binary, first boolean")
     found = materialize(found.join(again, "h"), "occurrences")
     keeps = (F.col("id") == F.col("keep")) & F.col("first")
-    origin = found.filter(keeps).groupBy("h").agg(F.min("bytes").alias("origin"))
-    return found.filter(~keeps).join(origin, "h").filter(F.col("bytes") == F.col("origin")).select("id", "th", "place")
+    origin = found.filter(keeps).groupBy("h").agg(F.min(F.struct("place", "th", "id", "before", "bytes")).alias("o"))
+    same = (F.col("id") == F.col("o.id")) & (F.col("th") == F.col("o.th"))
+    pairs = found.filter(~keeps).join(origin, "h").select("id", "th", "place", "before", "bytes", same.alias("_same"), F.col("o.place").alias("_place"), F.col("o.before").alias("_before"), F.col("o.bytes").alias("_bytes"))
+    return pairs.mapInArrow(_matches, "id long, th long, a int, b int")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 12) -> DataFrame:
     """The rows of ``docs`` with repeated passages cut from ``text``, and ``removed_words``."""
     ship(docs.sparkSession)
-    gone = repeated_chunks(docs.select("doc_id", "text")).groupBy("id", "th").agg(F.collect_set("place").alias("_gone"))
+    gone = repeated_passages(docs.select("doc_id", "text")).groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
     other = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
     rows = docs.select(other, F.col("text").alias("_text"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.xxhash64("text").alias("_th"))
     rows = rows.join(gone, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th")), "left").select("_row", "_text", "_gone")

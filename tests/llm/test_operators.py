@@ -222,6 +222,26 @@ def test_lines_are_cut_once_and_only_whole_repeats(spark):
         assert own[i] in out[i]["text"] and own[i][::-1] in out[i]["text"]
 
 
+def test_passages_just_over_fifty_words_are_cut_whole(spark):
+    rng = np.random.default_rng(7)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n))
+    passages = [prose(51 + i % 10) for i in range(60)]
+    around = [(prose(70), prose(70)) for _ in range(120)]
+    rows = [(i, f"{a} {passages[i % 60]} {b}") for i, (a, b) in enumerate(around)]
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (a, b) in enumerate(around):
+        assert (out[i]["text"], out[i]["removed_words"]) == (rows[i][1], 0) if i < 60 else (f"{a} {b}", 51 + i % 10)
+
+
+def test_a_passage_within_its_own_text_stays_once(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n)) for n in (60, 70, 3))
+    rows = [(1, f"{a}\n{b}\n{a}"), (2, " ".join([c] * 100)), (3, None)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == f"{a}\n{b}\n" and out[3] is None
+    assert out[2].startswith(" ".join([c] * 4)) and set(out[2].split()) == set(c.split())
+
+
 def test_mixture_meets_targets(spark):
     rows = queries.QUERIES["op9_mixing"](spark, SF).collect()
     source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
