@@ -114,6 +114,31 @@ def test_sharding_law(spark, texts):
     assert all(len(s) == 1 for t, s in homes.items() if 1 < copies[t] <= most // 4)
 
 
+def test_sharding_brings_copies_home_without_free_room(spark):
+    rows = [(i, f"text {i // 2}") for i in range(640)]
+    homes = defaultdict(set)
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        homes[r["text_crc32"]].add(r["shard"])
+    assert len(homes) == 320 and all(len(s) == 1 for s in homes.values())
+
+
+def test_sharding_of_pairs_beside_a_group_larger_than_a_shard(spark):
+    rows = [(i, "all the same") for i in range(60)] + [(100 + i, f"text {i // 2}") for i in range(100)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
+    assert set(Counter(r["shard"] for r in out).values()) == {40}
+    homes = defaultdict(set)
+    for r in out:
+        homes[r["text_crc32"]].add(r["shard"])
+    assert sorted(map(len, homes.values()))[:50] == [1] * 50
+
+
+def test_moves_are_granted_along_circles_and_to_free_room():
+    assert sharding.granted({(0, 1): 5, (1, 2): 3, (2, 0): 4}, [0, 0, 0]) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+    assert sharding.granted({(0, 1): 5, (1, 2): 3}, [0, 1, 1]) == {(0, 1): 2, (1, 2): 1}
+    assert sharding.circle({(0, 1): {b"g": 1}, (1, 0): {b"g": 1}}, [0, 0]) == []
+    assert len(sharding.circle({(0, 1): {b"g": 1, b"h": 1}, (1, 0): {b"g": 1, b"h": 1}}, [0, 0])) == 2
+
+
 def test_classifier_on_held_out(spark):
     rows = {r["doc_id"]: r for r in queries.QUERIES["op3_quality_classifier"](spark, "/root/testdata/sf0.01").collect()}
     labels = [(r["quality"], rows[r["doc_id"]]["score"]) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r["quality"] is not None and rows[r["doc_id"]]["held_out"]]
