@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict, deque
 
 import pandas as pd
@@ -11,22 +12,24 @@ from pyspark.sql import functions as F
 from evidentia.operators.stats import hash_unit
 
 
-def exclusive_prune(edges: DataFrame, a: str = "src", b: str = "dst", sign: str = "sign", directed: bool = False, rounds: int = 50) -> DataFrame:
-    """Edges whose both ends have edges of both signs, to the fixpoint; directed ends are counted by role.
+def exclusive_prune(edges: DataFrame, a: str = "src", b: str = "dst", sign: str = "sign", directed: bool = False, rounds: int | None = None) -> DataFrame:
+    """Edges whose both ends have edges of both signs, to the fixpoint, or after ``rounds``; directed ends are counted by role.
 
-    Each round is two semi joins on the nodes; their number is small next to the edges'. Lineage is cut with
-    ``checkpoint`` where the application has a checkpoint folder.
+    Each round is two semi joins on the nodes; their number is small next to the edges'. Lineage is cut every round,
+    with ``checkpoint`` where the application has a checkpoint folder: as each round reads the edges three times, plans
+    would grow threefold a round.
     """
     spark = edges.sparkSession
-    n = edges.count()
-    for _ in range(rounds):
+    n, at = edges.count(), 0
+    while rounds is None or at < rounds:
+        at += 1
         if directed:
             nodes = [edges.groupBy(c).agg(F.count_distinct(sign).alias("k")).filter("k = 2").select(c) for c in (a, b)]
         else:
             ends = edges.select(F.explode(F.array(a, b)).alias("node"), sign).groupBy("node").agg(F.count_distinct(sign).alias("k")).filter("k = 2").select("node")
             nodes = [ends.withColumnRenamed("node", c) for c in (a, b)]
         edges = edges.join(nodes[0], a, "left_semi").join(nodes[1], b, "left_semi")
-        edges = edges.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else edges.persist()
+        edges = edges.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else edges.localCheckpoint()
         left = edges.count()
         if left == n:
             break
@@ -122,47 +125,94 @@ def degree_constrained(pairs: list[tuple], caps_out: dict, caps_in: dict) -> lis
     return [i for i, e in enumerate(mine) if not f.room[e]]
 
 
-def _balance(min_flow: float, most: int | None):
+def degree_constrained_undirected(pairs: list[tuple], caps: dict, most: int) -> list[int]:
+    """Indices of ``most`` edges or fewer in which no node exceeds its capacity, counted at both ends.
+
+    Every edge is an arc each way; an edge that the flow takes both ways stays, and of those it takes one way as many as
+    fit, those whose ends have the largest share of their capacity left first.
+    """
+    f = Flow()
+    for v, c in caps.items():
+        f.add("s", ("o", v), c)
+        f.add(("i", v), "t", c)
+    mine = [(f.add(("o", u), ("i", v), 1), f.add(("o", v), ("i", u), 1)) for u, v in pairs]
+    f.run("s", "t")
+    taken = [(not f.room[x]) + (not f.room[y]) for x, y in mine]
+    chosen, left = [i for i, k in enumerate(taken) if k == 2], dict(caps)
+    for i in chosen:
+        for v in pairs[i]:
+            left[v] -= 1
+    score = lambda i: sum(left[v] / caps[v] for v in pairs[i])
+    heap = [(-score(i), i) for i, k in enumerate(taken) if k == 1]
+    heapq.heapify(heap)
+    while heap and len(chosen) < most:
+        old, i = heapq.heappop(heap)
+        u, v = pairs[i]
+        if left[u] < 1 + (u == v) or left[v] < 1:
+            continue
+        if -score(i) > old:  # its ends have been used since
+            heapq.heappush(heap, (-score(i), i))
+            continue
+        chosen.append(i)
+        left[u] -= 1
+        left[v] -= 1
+    return sorted(chosen)
+
+
+def _common(pos: list[tuple], neg: list[tuple], directed: bool) -> tuple[list[tuple], list[tuple]]:
+    """Edges whose ends both signs have, to the fixpoint; directed ends are counted by role."""
+    while True:
+        n = len(pos) + len(neg)
+        if directed:
+            out, into = ({e[k] for e in pos} & {e[k] for e in neg} for k in (0, 1))
+        else:
+            out = into = {v for e in pos for v in e} & {v for e in neg for v in e}
+        pos, neg = ([(u, v) for u, v in edges if u in out and v in into] for edges in (pos, neg))
+        if len(pos) + len(neg) == n:
+            return pos, neg
+
+
+def _balance(min_flow: float, most: int | None, directed: bool):
+    def within(edges: list[tuple], other: list[tuple]) -> list[int]:
+        """A largest set of ``edges`` that keeps within the degrees of ``other``."""
+        out, into = defaultdict(int), defaultdict(int)
+        for u, v in other:
+            out[u] += 1
+            (into if directed else out)[v] += 1
+        if directed:
+            return degree_constrained(edges, out, into)
+        inside = [i for i, (u, v) in enumerate(edges) if u in out and v in out]
+        return [inside[i] for i in degree_constrained_undirected([edges[i] for i in inside], out, len(other))]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["src", "dst"]).reset_index(drop=True)
         pos, neg = (list(zip(g.src, g.dst, strict=True)) for g in (pdf[pdf.sign == 1], pdf[pdf.sign == 0]))
-        for _ in range(50):
-            out, into = defaultdict(int), defaultdict(int)
-            for u, v in pos:
-                out[u] += 1
-                into[v] += 1
-            if not pos:
-                neg = []
-                break
-            took = degree_constrained(neg, out, into)
+        while True:  # positives shrink every time
+            took = [neg[i] for i in within(neg, pos)]
             if len(took) >= min_flow * len(pos) and (most is None or len(pos) <= most):
-                neg = [neg[i] for i in took]
                 break
             # positives shrink to what the chosen negatives, or the limit, can match
-            out, into = defaultdict(int), defaultdict(int)
-            for i in took:
-                out[neg[i][0]] += 1
-                into[neg[i][1]] += 1
-            kept = degree_constrained(pos, out, into)
+            kept = within(pos, took)
             kept = kept if most is None else kept[:most]
             if len(kept) == len(pos):
-                neg = [neg[i] for i in took]
                 break
             pos = [pos[i] for i in kept]
+        pos, neg = _common(pos, took, directed)
         rows = [(pdf.network_id.iloc[0], u, v, 1) for u, v in pos] + [(pdf.network_id.iloc[0], u, v, 0) for u, v in neg]
         return pd.DataFrame(rows, columns=["network_id", "src", "dst", "sign"])
 
     return run
 
 
-def balance_degrees(edges: DataFrame, min_flow: float = 0.95, most: int | None = None) -> DataFrame:
-    """Per ``network_id``, positive and negative edges of nearly equal degrees by role: maximum flows in turn.
+def balance_degrees(edges: DataFrame, min_flow: float = 0.95, most: int | None = None, directed: bool = True) -> DataFrame:
+    """Per ``network_id``, positive and negative edges of nearly equal degrees, by role if ``directed``: maximum flows in turn.
 
-    A network is one task: it is a graph that one machine must hold, as each flow looks at all of it.
+    Nodes that are left with edges of one sign go at the end. A network is one task: it is a graph that one machine must
+    hold, as each flow looks at all of it.
     """
     schema = "network_id string, src long, dst long, sign int"
     rows = edges.select(F.col("network_id").cast("string").alias("network_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("sign").cast("int").alias("sign"))
-    return rows.groupBy("network_id").applyInPandas(_balance(min_flow, most), schema)
+    return rows.groupBy("network_id").applyInPandas(_balance(min_flow, most, directed), schema)
 
 
 def node_split(edges: DataFrame, a: str = "src", b: str = "dst", fraction: float = 0.1, seed: int = 1) -> DataFrame:
