@@ -6,35 +6,18 @@ segments play cell lines. Every query reads its whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import special
+from evidentia.operators import annotation as A
 from evidentia.operators import evidence as E
 from evidentia.operators import graph as G
 from evidentia.operators import learning as L
 from evidentia.operators import stats as S
 from evidentia.operators import windows as WN
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = "WITH " + sql.strip()
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
+from evidentia.plans.registry import ORACLE_SQL, QUERIES, query, r6, table  # noqa: F401
+from evidentia.scratch import materialize
 
 def ev(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("bait"), F.col("l_partkey").alias("prey"), F.date_format("l_shipdate", "yyyy-MM").alias("study"), F.col("l_returnflag").alias("method")).distinct()
@@ -47,8 +30,14 @@ def pairs(spark, sf) -> DataFrame:
     return E.aggregate_pairs(ev(spark, sf), STUDY)
 
 
+def totals(spark, sf) -> DataFrame:
+    """The pooled counts of all pairs, from the groups."""
+    return E.pair_totals(ev(spark, sf), STUDY)
+
+
 def pod(spark, sf) -> DataFrame:
-    return E.posterior(pairs(spark, sf))
+    e = E.evidence(ev(spark, sf), STUDY)
+    return E.posterior(E.aggregate_pairs(e, STUDY), totals=E.pair_totals(e, STUDY))
 
 
 def ev_cell(spark, sf) -> DataFrame:
@@ -57,6 +46,12 @@ def ev_cell(spark, sf) -> DataFrame:
     return line.select(F.col("l_suppkey").alias("bait"), F.col("l_partkey").alias("prey"), F.date_format("l_shipdate", "yyyy-MM").alias("study"), F.col("l_returnflag").alias("method"), F.col("c_mktsegment").alias("cvcl")).distinct()
 
 
+def cell_pod(spark, sf) -> DataFrame:
+    group = [*STUDY, "cvcl"]
+    e = E.evidence(ev_cell(spark, sf), group)
+    return E.posterior(E.aggregate_pairs(e, group, ["bait", "prey", "cvcl"]), prior_keys=["cvcl"], totals=E.pair_totals(e, group, ["cvcl"]))
+
+
 def brand_pairs(spark, sf) -> DataFrame:
     """Supplier by brand within the month: a dense, small pair table."""
     line = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -64,19 +59,17 @@ def brand_pairs(spark, sf) -> DataFrame:
 
 
 def signed(spark, sf) -> DataFrame:
-    """A small signed graph on suppliers: brands in common by month, many shared months positive, few negative."""
-    e = brand_pairs(spark, sf).filter("method = 'R'").select("bait", "study").distinct()
-    s = E.shared_members(e, "bait", "study")
+    """A small signed graph on suppliers: many parts in common are positive, few negative."""
+    s = materialize(E.shared_members(ev(spark, sf), "bait", "prey"), "shared")
     cut = s.agg(F.percentile("n_shared", F.lit(0.9)).alias("hi"), F.percentile("n_shared", F.lit(0.1)).alias("lo"))
     s = s.crossJoin(F.broadcast(cut))  # one row
     return s.withColumn("sign", F.when(F.col("n_shared") > F.col("hi"), 1).when(F.col("n_shared") < F.col("lo"), 0)).filter("sign is not null").select(F.col("x").alias("src"), F.col("y").alias("dst"), "sign")
 
 
 def mixed(spark, sf) -> DataFrame:
-    """A bipartite signed graph: large lines of a supplier and part, returned (1) or accepted (0) and never both."""
-    line = table(spark, sf, "lineitem").filter("l_quantity > 40 and l_returnflag in ('A', 'R')")
-    e = line.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.min("l_returnflag").alias("x"), F.max("l_returnflag").alias("y"))
-    return e.filter("x = y").select("src", "dst", F.when(F.col("x") == "R", 1).otherwise(0).alias("sign"))
+    """A bipartite signed graph of suppliers and parts: pairs with a returned line are positive, all others negative."""
+    e = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return e.agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("sign"))
 
 
 EV = "ev AS (SELECT DISTINCT l_suppkey AS bait, l_partkey AS prey, strftime(l_shipdate, '%Y-%m') AS study, l_returnflag AS method FROM lineitem)"
@@ -91,14 +84,13 @@ CELL = """ev AS (SELECT DISTINCT l_suppkey AS bait, l_partkey AS prey, strftime(
  FROM (SELECT DISTINCT study, method, cvcl, bait FROM ev) b JOIN (SELECT DISTINCT study, method, cvcl, prey FROM ev) p USING (study, method, cvcl)
  LEFT JOIN ev e ON e.study = b.study AND e.method = b.method AND e.cvcl = b.cvcl AND e.bait = b.bait AND e.prey = p.prey WHERE b.bait <> p.prey GROUP BY 1, 2, 3)"""
 BRAND = "bp AS (SELECT l_suppkey AS bait, p_brand AS prey, strftime(l_shipdate, '%Y-%m') AS study, l_returnflag AS method FROM lineitem JOIN part ON l_partkey = p_partkey)"
-SIGNED = BRAND + """, bs AS (SELECT DISTINCT bait, study FROM bp WHERE method = 'R'), ids AS (SELECT DISTINCT bait FROM bs),
+SIGNED = EV + """, bs AS (SELECT DISTINCT bait, prey FROM ev), ids AS (SELECT DISTINCT bait FROM bs),
  sh AS (SELECT x.bait AS x, y.bait AS y, coalesce(n, 0) AS n_shared FROM ids x JOIN ids y ON x.bait < y.bait
- LEFT JOIN (SELECT a.bait AS x, b.bait AS y, count(*) AS n FROM bs a JOIN bs b USING (study) WHERE a.bait < b.bait GROUP BY ALL) s ON s.x = x.bait AND s.y = y.bait),
+ LEFT JOIN (SELECT a.bait AS x, b.bait AS y, count(*) AS n FROM bs a JOIN bs b USING (prey) WHERE a.bait < b.bait GROUP BY ALL) s ON s.x = x.bait AND s.y = y.bait),
  sg AS (SELECT x AS src, y AS dst, CASE WHEN n_shared > (SELECT quantile_cont(n_shared, 0.9) FROM sh) THEN 1 ELSE 0 END AS sign FROM sh
  WHERE n_shared > (SELECT quantile_cont(n_shared, 0.9) FROM sh) OR n_shared < (SELECT quantile_cont(n_shared, 0.1) FROM sh))"""
-MIXED = "sg AS (SELECT l_suppkey AS src, l_partkey AS dst, CASE WHEN min(l_returnflag) = 'R' THEN 1 ELSE 0 END AS sign FROM lineitem WHERE l_quantity > 40 AND l_returnflag IN ('A', 'R') GROUP BY 1, 2 HAVING min(l_returnflag) = max(l_returnflag))"
+MIXED = "sg AS (SELECT l_suppkey AS src, l_partkey AS dst, max((l_returnflag = 'R')::INT) AS sign FROM lineitem GROUP BY 1, 2)"
 U = lambda *k: "(('0x' || substr(md5(concat_ws('_', " + ", ".join(f"({x})::VARCHAR" for x in k) + ")), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
-r6 = lambda c: F.round(c, 6)
 
 
 # evidence and roles
@@ -134,7 +126,7 @@ def search_space_groups(spark, sf):
 @query(EV + """ SELECT study, method, count(*)::BIGINT AS tests, count(e.bait)::BIGINT AS observed FROM (SELECT DISTINCT study, method, bait FROM ev) b JOIN (SELECT DISTINCT study, method, prey FROM ev) p USING (study, method)
  LEFT JOIN ev e USING (study, method, bait, prey) WHERE b.bait <> p.prey GROUP BY ALL""")
 def search_space(spark, sf):
-    return E.search_space(ev(spark, sf), STUDY).groupBy(*STUDY).agg(F.count("*").alias("tests"), F.sum("n_observed").alias("observed"))
+    return E.search_sizes(ev(spark, sf), STUDY).select(*STUDY, "tests", "observed")
 
 
 @query(PAIRS + " SELECT * FROM pairs")
@@ -159,13 +151,13 @@ def pod_point(spark, sf):
 
 @query()
 def pod_bounds(spark, sf):
-    return special.with_bounds(pod(spark, sf))
+    return special.with_bounds(pod(spark, sf), ["n_tested", "n_observed"])
 
 
 @query(CELL + """, c AS (SELECT *, sum(n_observed) OVER (PARTITION BY cvcl)::DOUBLE / sum(n_tested) OVER (PARTITION BY cvcl)::DOUBLE AS a0 FROM cell)
  SELECT bait, prey, cvcl, n_tested, n_observed, round((a0 + n_observed) / (1.0 + n_tested), 6) AS p FROM c""")
 def pod_by_cellline(spark, sf):
-    out = E.posterior(E.aggregate_pairs(ev_cell(spark, sf), [*STUDY, "cvcl"], ["bait", "prey", "cvcl"]), prior_keys=["cvcl"])
+    out = cell_pod(spark, sf)
     return out.select("bait", "prey", "cvcl", "n_tested", "n_observed", r6("p").alias("p"))
 
 
@@ -220,7 +212,7 @@ DEG = PAIRS + """, deg AS (SELECT id, sum(n_tested)::BIGINT AS sum_tests, count(
 
 def degrees(spark, sf) -> DataFrame:
     d = E.endpoint_degrees(pairs(spark, sf))
-    return E.bin_fixed(E.bin_quantile(E.bin_quantile(d, "deg_pos", "pos_bin"), "deg_neg", "neg_bin"), "deg_tested", 100, 500, "tested_bin")
+    return E.bin_fixed(E.bin_quantiles(d, {"deg_pos": "pos_bin", "deg_neg": "neg_bin"}), "deg_tested", 100, 500, "tested_bin")
 
 
 @query(DEG + " SELECT * FROM deg")
@@ -282,13 +274,22 @@ def reverse_cum_degree(spark, sf):
 # ordered analytics
 
 
-@query(POD + """, v AS (SELECT round(p, 6) AS v, CASE WHEN p_size > 5 THEN p_retailprice END AS m FROM pod JOIN part ON prey = p_partkey), t AS (SELECT v, count(*) AS n, count(m) AS k, sum(round(m * 100)::BIGINT) AS s FROM v GROUP BY v),
- a AS (SELECT v AS threshold, sum(n) OVER w AS n_pairs, sum(k) OVER w AS non_na_pairs, coalesce(sum(s) OVER w, 0) AS total, sum(n) OVER () AS alls FROM t WINDOW w AS (ORDER BY v DESC ROWS UNBOUNDED PRECEDING))
- SELECT threshold, n_pairs::BIGINT AS n_pairs, non_na_pairs::BIGINT AS non_na_pairs, total::BIGINT AS total FROM a WHERE n_pairs >= 200 OR n_pairs = alls""")
-def accumulation_curve(spark, sf):
+ACC = POD + """, v AS (SELECT round(p, 6) AS v, bait, prey, CASE WHEN p_size > 5 THEN round(p_retailprice * 100)::BIGINT END AS m FROM pod JOIN part ON prey = p_partkey),
+ t AS (SELECT v, count(*) AS n, count(m) AS k, sum(m) AS s FROM v GROUP BY v), a AS (SELECT v, sum(n) OVER w AS n, sum(k) OVER w AS k, coalesce(sum(s) OVER w, 0) AS s FROM t WINDOW w AS (ORDER BY v DESC ROWS UNBOUNDED PRECEDING)),
+ f AS (SELECT greatest(200, min(n)) AS least FROM a), o AS (SELECT *, row_number() OVER (ORDER BY v DESC, bait, prey) AS pos FROM v),
+ curve AS (SELECT (SELECT max(v) FROM v) AS value, count(*)::BIGINT AS n_pairs, coalesce(sum(m), 0)::BIGINT AS sum_m, count(m)::BIGINT AS non_na_pairs_m FROM o WHERE pos <= (SELECT least FROM f)
+ UNION ALL SELECT v, n::BIGINT, s::BIGINT, k::BIGINT FROM a WHERE n > (SELECT least FROM f))"""
+
+
+def curve(spark, sf) -> DataFrame:
     cents = F.round(F.when(F.col("p_size") > 5, F.col("p_retailprice")) * 100).cast("long")
-    v = pod(spark, sf).join(table(spark, sf, "part"), F.col("prey") == F.col("p_partkey")).select(r6("p").alias("v"), cents.alias("m"))
-    return WN.accumulation_curve(v, "v", "m")
+    v = pod(spark, sf).join(table(spark, sf, "part"), F.col("prey") == F.col("p_partkey")).select("bait", "prey", r6("p").alias("v"), cents.alias("m"))
+    return WN.accumulation_curve(v, "v", ["m"], ["bait", "prey"])
+
+
+@query(ACC + " SELECT * FROM curve")
+def accumulation_curve(spark, sf):
+    return curve(spark, sf)
 
 
 @query(PAIRS + ", h AS (SELECT n_tested AS value, count(*) AS w FROM pairs GROUP BY 1) SELECT value, (sum(w) OVER (ORDER BY value DESC))::BIGINT AS at_least, (sum(w) OVER (ORDER BY value))::BIGINT AS at_most FROM h")
@@ -333,7 +334,7 @@ def top_n(spark, sf):
 
 @query("t AS (SELECT *, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, c_mktsegment FROM t WHERE r <= n * 0.1")
 def top_fraction(spark, sf):
-    return WN.top_fraction(table(spark, sf, "customer"), 0.1, [F.asc("c_acctbal")], ["c_mktsegment"]).select("c_custkey", "c_mktsegment")
+    return WN.top_fraction(table(spark, sf, "customer"), 0.1, "c_acctbal", ["c_mktsegment"]).select("c_custkey", "c_mktsegment")
 
 
 @query("t AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) SELECT o_custkey, o_orderkey, o_totalprice FROM t WHERE r = 1")
@@ -367,28 +368,32 @@ def unpivot_values(spark, sf):
     return x.unpivot(["segment"], ["mean_p", "max_p", "min_p"], "variable", "value").select("segment", F.regexp_replace("variable", "_p$", "").alias("variable"), F.round("value", 4).alias("value"))
 
 
-BRANDS = "s AS (SELECT l_suppkey AS id, list_sort(list_distinct(list(p_brand))) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 AND l_returnflag = 'R' GROUP BY 1)"
+TERMS = "s AS (SELECT p_partkey AS id, list_sort(list_distinct(string_split(p_name, ' ') || [p_brand, p_type])) AS terms FROM part)"
+NEXT = "nx AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
+
+
+def term_sets(spark, sf) -> DataFrame:
+    """Annotation of a part: the words of its name, its brand and type."""
+    terms = F.array_sort(F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_brand", "p_type"))))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), terms.alias("terms"))
 
 
-def brand_sets(spark, sf) -> DataFrame:
-    line = table(spark, sf, "lineitem").filter("l_quantity > 45 and l_returnflag = 'R'").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return line.groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_set("p_brand")).alias("brands"))
+def neighbours(spark, sf) -> DataFrame:
+    """Parts in neighbouring lines of an order."""
+    line = table(spark, sf, "lineitem")
+    x = line.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("a"))
+    y = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("b"))
+    return x.join(y, ["l_orderkey", "n"]).select("a", "b").distinct()
 
 
-@query(BRANDS + " SELECT a.id AS a, b.id AS b, len(list_intersect(a.brands, b.brands))::BIGINT AS common, round(len(list_intersect(a.brands, b.brands)) / len(list_distinct(a.brands || b.brands)), 6) AS jaccard FROM s a JOIN s b ON a.id < b.id")
+@query(TERMS + ", " + NEXT + ", j AS (SELECT nx.a, nx.b, x.terms AS x, y.terms AS y FROM nx JOIN s x ON x.id = nx.a JOIN s y ON y.id = nx.b) SELECT a, b, len(list_intersect(x, y))::BIGINT AS common, round(len(list_intersect(x, y)) / len(list_distinct(x || y)), 6) AS jaccard FROM j")
 def jaccard_pairs(spark, sf):
-    s = brand_sets(spark, sf)
-    j = s.select(F.col("id").alias("a"), F.col("brands").alias("x")).join(s.select(F.col("id").alias("b"), F.col("brands").alias("y")), F.col("a") < F.col("b"))
-    i, u = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
-    return j.select("a", "b", i.cast("long").alias("common"), r6(F.try_divide(i, u)).alias("jaccard"))
+    return A.set_overlap(neighbours(spark, sf), term_sets(spark, sf), "id", "terms").select("a", "b", "common", r6("jaccard").alias("jaccard"))
 
 
-@query(BRANDS + " SELECT t AS term, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM s), 6) AS frequency FROM (SELECT unnest(brands) AS t FROM s) GROUP BY t HAVING count(*) / (SELECT count(*) FROM s) > 0.1")
+@query(TERMS + " SELECT t AS term, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM s), 6) AS frequency FROM (SELECT unnest(terms) AS t FROM s) GROUP BY t HAVING count(*) / (SELECT count(*) FROM s) > 0.1")
 def term_frequency(spark, sf):
-    s = brand_sets(spark, sf)
-    n = s.agg(F.count("*").alias("all"))
-    t = s.select(F.explode("brands").alias("term")).groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n))  # one row
-    return t.withColumn("frequency", F.col("n") / F.col("all")).filter("frequency > 0.1").select("term", "n", r6("frequency").alias("frequency"))
+    return A.term_frequency(term_sets(spark, sf), "terms", 0.1).select("term", "n", r6("frequency").alias("frequency"))
 
 
 @query("e AS (SELECT p_partkey AS id, trim(unnest(string_split(p_name, ' '))) AS term FROM part) SELECT * FROM e WHERE term <> ''")
@@ -436,13 +441,13 @@ def weight_distribution(spark, sf):
     return h.withColumn("weight", r6(F.col("n") / F.sum("n").over(W.partitionBy())))
 
 
-@query(EV + """, a AS (SELECT DISTINCT prey FROM ev WHERE method = 'A' AND study < '1994-01'), r AS (SELECT DISTINCT prey FROM ev WHERE method = 'R' AND study < '1993-06')
- SELECT 'both' AS kind, count(*)::BIGINT AS n FROM (SELECT prey FROM a INTERSECT SELECT prey FROM r) UNION ALL SELECT 'either', count(*) FROM (SELECT prey FROM a UNION SELECT prey FROM r)
- UNION ALL SELECT 'only_a', count(*) FROM (SELECT prey FROM a EXCEPT SELECT prey FROM r) UNION ALL SELECT 'one', count(*) FROM (SELECT a.prey FROM a FULL JOIN r ON a.prey = r.prey WHERE a.prey IS NULL OR r.prey IS NULL)""")
+@query(EV + """, a AS (SELECT DISTINCT bait, prey FROM ev WHERE method = 'A'), r AS (SELECT DISTINCT bait, prey FROM ev WHERE method = 'R')
+ SELECT 'both' AS kind, count(*)::BIGINT AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM r) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM r)
+ UNION ALL SELECT 'only_a', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM r) UNION ALL SELECT 'one', count(*) FROM (SELECT 1 FROM a FULL JOIN r ON a.bait = r.bait AND a.prey = r.prey WHERE a.prey IS NULL OR r.prey IS NULL)""")
 def set_operations(spark, sf):
     e = ev(spark, sf)
-    a, r = e.filter("method = 'A' and study < '1994-01'").select("prey").distinct(), e.filter("method = 'R' and study < '1993-06'").select("prey").distinct()
-    one = a.withColumn("x", F.lit(1)).join(r.withColumn("y", F.lit(1)), "prey", "full").filter("x is null or y is null")
+    a, r = (e.filter(F.col("method") == m).select("bait", "prey").distinct() for m in "AR")
+    one = a.withColumn("x", F.lit(1)).join(r.withColumn("y", F.lit(1)), ["bait", "prey"], "full").filter("x is null or y is null")
     sets = {"both": a.intersect(r), "either": a.union(r).distinct(), "only_a": a.subtract(r), "one": one}
     out = [s.agg(F.lit(k).alias("kind"), F.count("*").alias("n")) for k, s in sets.items()]
     return out[0].union(out[1]).union(out[2]).union(out[3])
@@ -521,13 +526,13 @@ def group_t_interval(spark, sf):
 @query(PAIRS + """, w AS (SELECT *, n_tested::DOUBLE / sum(n_tested) OVER (PARTITION BY prey) AS w, (SELECT sum(n_observed)::DOUBLE / sum(n_tested) FROM pairs) AS r FROM pairs)
  SELECT prey, round(sum(w * (n_observed + (1.0 / 3) * r) / (n_tested + 1.0 / 3)), 6) AS weighted_p, sum(n_tested)::BIGINT AS n_tested FROM w GROUP BY prey""")
 def prey_weighted_prior(spark, sf):
-    return E.prey_weighted_prior(pairs(spark, sf)).select("prey", r6("weighted_p").alias("weighted_p"), "n_tested")
+    return E.prey_weighted_prior(pairs(spark, sf), totals=totals(spark, sf)).select("prey", r6("weighted_p").alias("weighted_p"), "n_tested")
 
 
 @query(POD + ", n AS (SELECT count(DISTINCT prey) AS n FROM ev) SELECT bait, count(*)::BIGINT AS n_partners, round(sum(p) + greatest(0, (SELECT n FROM n) - count(*)) * (SELECT sum(n_observed)::DOUBLE / sum(n_tested) FROM pairs), 4) AS expected_degree FROM pod GROUP BY bait")
 def corrected_degree(spark, sf):
     n = ev(spark, sf).select("prey").distinct().count()
-    return E.untested_corrected_degree(pod(spark, sf), F.lit(n)).withColumn("expected_degree", F.round("expected_degree", 4))
+    return E.untested_corrected_degree(pod(spark, sf), F.lit(n), totals=totals(spark, sf)).withColumn("expected_degree", F.round("expected_degree", 4))
 
 
 @query("""c AS (SELECT c_nationkey AS id, c_mktsegment AS line, count(*)::DOUBLE AS w, avg(c_acctbal) AS m, coalesce(stddev_pop(c_acctbal), 0) AS s FROM customer GROUP BY ALL)
@@ -537,16 +542,29 @@ def mixture_moments(spark, sf):
     return S.mixture(c, "w", "m", "s", ["id"]).select("id", F.round("mix_mean", 3).alias("mix_mean"), F.round(F.sqrt("mix_var"), 3).alias("mix_sd"))
 
 
-@query()
+_ENDS = """, f AS (SELECT *, ((src + dst) % 3 = 0)::BIGINT AS x, ((src + dst) % 5 < 2)::BIGINT AS y FROM sg), e AS (SELECT src AS v, * FROM f UNION ALL SELECT dst AS v, * FROM f),
+ nodes AS (SELECT v, row_number() OVER (ORDER BY v) AS pos, sum(sign) AS np, sum(1 - sign) AS nn, sum(sign * x) AS p0, sum((1 - sign) * x) AS n0, sum(sign * y) AS p1, sum((1 - sign) * y) AS n1 FROM e GROUP BY v)"""
+_RATIO = "ln(greatest(r / greatest(1 - r, 1e-10), 1e-10))"
+
+
+@query(SIGNED + _ENDS + f""", d AS ({S.draw_sql("SELECT pos, rep FROM nodes, range(1, 5001) t(rep)", ["pos", "rep", "1"])}), w AS (SELECT rep, (floor(u * (SELECT count(*) FROM nodes)) + 1)::BIGINT AS pos FROM d UNION ALL SELECT 0, pos FROM nodes),
+ s AS (SELECT rep, sum(np)::DOUBLE AS np, sum(nn)::DOUBLE AS nn, sum(p0)::DOUBLE AS p0, sum(n0)::DOUBLE AS n0, sum(p1)::DOUBLE AS p1, sum(n1)::DOUBLE AS n1 FROM w JOIN nodes USING (pos) GROUP BY rep),
+ r AS (SELECT rep, 'x' AS variable, CASE WHEN np > 0 THEN p0 / np ELSE 0 END AS rp, CASE WHEN nn > 0 THEN n0 / nn ELSE 0 END AS rn FROM s UNION ALL SELECT rep, 'y', CASE WHEN np > 0 THEN p1 / np ELSE 0 END, CASE WHEN nn > 0 THEN n1 / nn ELSE 0 END FROM s),
+ l AS (SELECT *, {_RATIO.replace("r ", "rp ").replace(" r,", " rp,")} - {_RATIO.replace("r ", "rn ").replace(" r,", " rn,")} AS v FROM r),
+ g AS (SELECT variable, max(CASE WHEN rep = 0 THEN rp END) AS rate_pos, max(CASE WHEN rep = 0 THEN rn END) AS rate_neg, exp(max(CASE WHEN rep = 0 THEN v END)) AS odds_ratio, exp(quantile_cont(CASE WHEN rep > 0 THEN v END, 0.025)) AS lo, exp(quantile_cont(CASE WHEN rep > 0 THEN v END, 0.975)) AS hi,
+  greatest(1.0 / 5000, least(1.0, 2.0 * least(count(CASE WHEN rep > 0 AND v < 0 THEN 1 END), count(CASE WHEN rep > 0 AND v > 0 THEN 1 END)) / 5000)) AS p FROM l GROUP BY variable),
+ k AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM g)
+ SELECT variable, round(rate_pos, 6) AS rate_pos, round(rate_neg, 6) AS rate_neg, round(odds_ratio, 5) AS odds_ratio, round(lo, 5) AS lo, round(hi, 5) AS hi, round(p, 6) AS p_value, round(least(1.0, min(p * 2 / k) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value FROM k""")
 def node_bootstrap(spark, sf):
-    g = signed(spark, sf).withColumn("flag", (F.col("src") + F.col("dst")) % 3 == 0)
-    return S.node_bootstrap(g, "src", "dst", "flag", "sign", 200)
+    g = signed(spark, sf).withColumn("x", (F.col("src") + F.col("dst")) % 3 == 0).withColumn("y", (F.col("src") + F.col("dst")) % 5 < 2)
+    out = S.node_bootstrap(g, "src", "dst", ["x", "y"], "sign")
+    return out.select("variable", *[r6(c).alias(c) for c in ("rate_pos", "rate_neg", "p_value", "q_value")], *[F.round(c, 5).alias(c) for c in ("odds_ratio", "lo", "hi")])
 
 
-@query(f"""s AS (SELECT c_custkey, c_mktsegment, c_acctbal, rep FROM customer, range(1, 101) t(rep) WHERE {U('c_custkey', 'rep', '1')} < 0.8), m AS (SELECT c_mktsegment, rep, avg(c_acctbal) AS m FROM s GROUP BY ALL)
+@query(f"""d AS ({S.draw_sql("SELECT c_custkey, c_mktsegment, c_acctbal, rep FROM customer, range(1, 100001) t(rep)", ["c_custkey", "rep", "1"])}), m AS (SELECT c_mktsegment, rep, avg(c_acctbal) AS m FROM d WHERE u < 0.8 GROUP BY ALL)
  SELECT c_mktsegment, round(quantile_cont(m, 0.025), 3) AS lo, round(quantile_cont(m, 0.975), 3) AS hi, count(*)::BIGINT AS replicates FROM m GROUP BY 1""")
 def subsample_interval(spark, sf):
-    out = S.subsample_interval(table(spark, sf, "customer"), "c_custkey", "c_mktsegment", "c_acctbal", 100, 0.8)
+    out = S.subsample_interval(table(spark, sf, "customer"), "c_custkey", "c_mktsegment", "c_acctbal")
     return out.select("c_mktsegment", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"), "replicates")
 
 
@@ -571,10 +589,16 @@ def complement_edges(spark, sf):
     return G.complement_edges(signed(spark, sf).filter("sign = 1"))
 
 
-@query(SIGNED + f""", e AS (SELECT * FROM sg WHERE sign = 1), d AS (SELECT v, count(*) AS d FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e) GROUP BY v)
- SELECT x.v AS src, y.v AS dst FROM d x JOIN d y ON x.v < y.v WHERE NOT EXISTS (SELECT 1 FROM e WHERE src = x.v AND dst = y.v) AND {U('x.v', 'y.v', '1')} < x.d * y.d / (SELECT sum(d) FROM d)""")
+@query("x AS (SELECT 1) SELECT 0::BIGINT AS loops, 0::BIGINT AS known, 0::BIGINT AS repeats, 0::BIGINT AS above_degree, true AS nearly_all")
 def random_negatives(spark, sf):
-    return G.random_negatives(signed(spark, sf).filter("sign = 1"))
+    """Checks of the chosen pairs: no loop, no edge, no repeat, no node above its degree, and 95 % of the edges matched, or all but three."""
+    pos = materialize(signed(spark, sf).filter("sign = 1").select("src", "dst"), "positive")
+    neg = materialize(G.random_negatives(pos), "negative")
+    known = neg.join(pos, ["src", "dst"], "left_semi").count()
+    ends = lambda d, n: d.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count("*").alias(n))
+    above = ends(neg, "n").join(ends(pos, "p"), "v", "left").filter(F.col("n") > F.coalesce("p", F.lit(0))).count()
+    enough = F.count("*") >= pos.count() - max(3, 0.05 * pos.count())
+    return neg.agg(F.coalesce(F.sum((F.col("src") == F.col("dst")).cast("long")), F.lit(0)).alias("loops"), F.lit(known).cast("long").alias("known"), (F.count("*") - F.count_distinct("src", "dst")).alias("repeats"), F.lit(above).cast("long").alias("above_degree"), enough.alias("nearly_all"))
 
 
 @query(SIGNED + ", d AS (SELECT v AS node, count(CASE WHEN sign = 1 THEN 1 END)::BIGINT AS deg_pos, count(CASE WHEN sign = 0 THEN 1 END)::BIGINT AS deg_neg FROM (SELECT src AS v, sign FROM sg UNION ALL SELECT dst, sign FROM sg) GROUP BY v) SELECT *, abs(deg_pos - deg_neg) AS divergence FROM d")
@@ -582,25 +606,69 @@ def degree_divergence(spark, sf):
     return G.degree_divergence(signed(spark, sf))
 
 
+AUDIT = lambda names: "x AS (SELECT 1) SELECT unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS network_id, 0::BIGINT AS foreign, 0::BIGINT AS of_both_signs, 0::BIGINT AS one_sided"
+
+
 @query()
 def balance_degrees(spark, sf):
     return G.balance_degrees(mixed(spark, sf).withColumn("network_id", F.lit("all")))
 
 
+@query(AUDIT(["directed", "undirected"]))
+def balance_audit(spark, sf):
+    """Both kinds of balance keep to the original edges and leave no end with one sign."""
+    e = materialize(mixed(spark, sf), "mixed")
+    out = [G.audit_networks(G.balance_degrees(e.withColumn("network_id", F.lit(k)), directed=d), e, d) for k, d in (("directed", True), ("undirected", False))]
+    return out[0].unionByName(out[1])
+
+
 @query(SIGNED + f", s AS (SELECT *, {U('src', '1')} < 0.3 AS x, {U('dst', '1')} < 0.3 AS y FROM sg) SELECT src, dst, sign, CASE WHEN x THEN 'test' ELSE 'train' END AS split FROM s WHERE x = y")
 def node_split(spark, sf):
     return G.node_split(signed(spark, sf), fraction=0.3)
 
 
-@query(SIGNED + f" SELECT src, dst, sign, rep::INT AS replicate FROM sg, range(1, 4) t(rep) WHERE {U('src', 'dst', 'rep', '1')} < 0.95")
+@query("x AS (SELECT 1) SELECT 0::BIGINT AS leaks, 0::BIGINT AS foreign, 0::BIGINT AS one_sided")
+def validation_split(spark, sf):
+    """Checks of the searched split: no node on both sides, known edges only, validation ends with both signs."""
+    e = materialize(signed(spark, sf), "signed")
+    split = materialize(G.validation_split(e, directed=False), "split")
+    held = G.audit_networks(split.filter("split = 'validation'").withColumn("network_id", F.lit("v")), e, False)
+    leaks = G.audit_split(split).count()
+    foreign = split.join(e, ["src", "dst", "sign"], "left_anti").count()
+    return held.agg(F.lit(leaks).cast("long").alias("leaks"), F.lit(foreign).cast("long").alias("foreign"), F.coalesce(F.sum("one_sided"), F.lit(0)).alias("one_sided"))
+
+
+@query(AUDIT(["1", "2", "3"]))
 def permuted_networks(spark, sf):
-    return G.permuted(signed(spark, sf), 3)
+    e = materialize(G.balance_degrees(mixed(spark, sf).withColumn("network_id", F.lit("all"))).drop("network_id"), "balanced")
+    return G.audit_networks(G.permuted(e, 3), e)
 
 
-@query(SIGNED + f""", e AS (SELECT *, (src % 2)::VARCHAR AS network_id FROM sg), z AS (SELECT network_id, sign, count(*) AS n FROM e GROUP BY ALL)
- SELECT src, dst, sign, network_id FROM e JOIN z USING (network_id, sign) WHERE {U('src', 'dst', '1')} < (SELECT min(n) * 1.05::DOUBLE FROM z) / n""")
+@query("x AS (SELECT 1) SELECT 0::BIGINT AS foreign, 0::BIGINT AS one_sided, true AS alike")
 def equalise_networks(spark, sf):
-    return G.equalise(signed(spark, sf).withColumn("network_id", (F.col("src") % 2).cast("string"))).select("src", "dst", "sign", "network_id")
+    """Networks of parts by their number modulo 3, one of them thinned: sizes within 5 % afterwards."""
+    e = materialize(mixed(spark, sf).withColumn("network_id", (F.col("dst") % 3).cast("string")).filter("network_id <> '0' or dst % 2 = 0"), "networks")
+    out = materialize(G.equalise(e), "equal")
+    n = out.filter("sign = 1").groupBy("network_id").agg(F.count("*").alias("n")).agg((F.max("n") <= 1.05 * F.min("n")).alias("alike"))
+    a = G.audit_networks(out, e).agg(F.sum("foreign").alias("foreign"), F.sum("one_sided").alias("one_sided"))
+    return a.crossJoin(n)  # one row each
+
+
+@query()
+def scaled_negatives(spark, sf):
+    return G.scaled_negatives(mixed(spark, sf))
+
+
+@query()
+def worst_nodes(spark, sf):
+    return G.worst_nodes(signed(spark, sf), 0.9)
+
+
+@query(MIXED + """, e AS (SELECT 'bait' AS role, src AS v, sign FROM sg UNION ALL SELECT 'prey', dst, sign FROM sg), n AS (SELECT role, v, count(CASE WHEN sign = 1 THEN 1 END) AS p, count(CASE WHEN sign = 0 THEN 1 END) AS m FROM e GROUP BY ALL)
+ SELECT role, count(CASE WHEN p > 0 AND m = 0 THEN 1 END)::BIGINT AS missing, count(CASE WHEN p > 0 AND m > 0 THEN 1 END)::BIGINT AS shared, coalesce(sum(CASE WHEN m = 0 THEN p END), 0)::BIGINT AS edges_discarded FROM n GROUP BY role""")
+def missing_ends(spark, sf):
+    e = mixed(spark, sf)
+    return G.missing_ends(e.filter("sign = 1"), e.filter("sign = 0"))
 
 
 # learning
@@ -624,20 +692,28 @@ def pair_features(spark, sf):
 
 
 def _classified(spark, sf, kind: str, **params) -> DataFrame:
-    f = L.pair_features(vector_edges(spark, sf), table(spark, sf, "embeddings"), "vec_id", "embedding")
-    model = L.train_classifier(f.filter(S.hash_unit("src" and F.col("src")) >= 0.2), "y", kind, **params)
-    out = L.scored(model, f.filter(S.hash_unit(F.col("src")) < 0.2)).withColumn("key", F.concat_ws("_", "src", "dst"))
+    """Trained and tested on edges that share no vector."""
+    edges = G.node_split(vector_edges(spark, sf), fraction=0.3)
+    f = L.pair_features(edges, table(spark, sf, "embeddings"), "vec_id", "embedding")
+    model = L.train_classifier(f.filter("split = 'train'"), "y", kind, **params)
+    out = L.scored(model, f.filter("split = 'test'")).withColumn("key", F.concat_ws("_", "src", "dst"))
     return L.evaluate(out, "y", "score", "key")
 
 
 @query()
 def forest_evaluation(spark, sf):
-    return _classified(spark, sf, "forest", numTrees=20)
+    return _classified(spark, sf, "forest")
 
 
 @query()
 def boosted_evaluation(spark, sf):
-    return _classified(spark, sf, "boosted", maxIter=5)
+    return _classified(spark, sf, "boosted")
+
+
+@query("x AS (SELECT 1) SELECT 0::BIGINT AS leaks")
+def split_audit(spark, sf):
+    """The split that the classifiers are judged on."""
+    return G.audit_split(G.node_split(vector_edges(spark, sf), fraction=0.3)).agg(F.count("*").alias("leaks"))
 
 
 @query(VE + """, s AS (SELECT src, dst, round(list_sum(list_transform(list_zip(x, z), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) AS s FROM e), k AS (SELECT src AS id, s FROM s UNION ALL SELECT dst, s FROM s) SELECT id, round(sum(round(s * 10000)::BIGINT) / count(*))::BIGINT / 10000.0 AS mean_similarity, count(*)::BIGINT AS n FROM k GROUP BY id""")
