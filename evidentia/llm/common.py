@@ -2,65 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.scratch import discard, materialize, ship  # noqa: F401
+
 #: ASCII white space between words, as a character class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``, removed when it ends.
-
-    The folder is set here only in local mode: a cluster must name one that all executors share.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            base = "/tmp/checkpoints"
-        _roots[app] = f"{base.rstrip('/')}/evidentia-{app}"
-        jvm, conf, root = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _roots[app]
-
-        def clean() -> None:
-            try:
-                path = jvm.org.apache.hadoop.fs.Path(root)
-                path.getFileSystem(conf).delete(path, True)
-            except Exception:  # the JVM may be gone already
-                pass
-
-        atexit.register(clean)
-    return _roots[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a Parquet table to the shared scratch folder and read it: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete scratch tables that no later step reads."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def unit(key: Column) -> Column:
     """A 62-bit non-negative hash, for shuffled orders."""
     return F.shiftrightunsigned(F.xxhash64(key), 2)
@@ -91,24 +43,6 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], va
     here = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return df.join(sums.drop("_sum"), by).withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_base")
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once per application."""
-    import shutil
-    import tempfile
-    from pathlib import Path
-
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        _shipped.add(app)
-        top = Path(__file__).resolve().parents[1]
-        with tempfile.TemporaryDirectory() as d:
-            shutil.copytree(top, f"{d}/in/{top.name}", ignore=shutil.ignore_patterns("__pycache__"))
-            kept = shutil.make_archive(f"{tempfile.mkdtemp()}/{top.name}", "zip", f"{d}/in")
-        spark.sparkContext.addPyFile(kept)
-
 
 #: Bits of a broadcast filter: 16 a key, from 128 KB to 128 MB. Beyond, it lets more pass; what passes is joined exactly.
 LEAST_BITS, MOST_BITS = 20, 30
@@ -122,17 +56,33 @@ def slots(keys, bits: int):
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+#: Keys that a task gathers before it sends their places on.
+_GATHERED = 1 << 20
+
+
 def _marks(bits: int):
+    """Per block of places, the 16-bit offsets of a task's keys in it: as much as there are keys, whatever the bits."""
     import numpy as np
     import pyarrow as pa
 
+    def sent(held):
+        at = np.unique(slots(np.concatenate(held), bits))
+        blocks, first = np.unique(at // (8 * _ROW), return_index=True)
+        offsets = np.append(first, len(at)).astype(np.int32) * 2
+        data = (at % (8 * _ROW)).astype("<u2").tobytes()
+        marks = pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), marks], ["block", "marks"])
+
     def run(batches):
-        marks = np.zeros(1 << bits, bool)
+        held, n = [], 0
         for batch in batches:
-            marks[slots(batch.column(0).drop_null().to_numpy(), bits)] = True
-        rows = np.packbits(marks).reshape(-1, _ROW)
-        for i in np.flatnonzero(rows.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rows[i].tobytes()], pa.binary())], ["block", "marks"])
+            held.append(batch.column(0).drop_null().to_numpy())
+            n += len(held[-1])
+            if n >= _GATHERED:
+                yield sent(held)
+                held, n = [], 0
+        if n:
+            yield sent(held)
 
     return run
 
@@ -141,10 +91,10 @@ def _either(key, table):
     import numpy as np
     import pyarrow as pa
 
-    out = np.zeros(_ROW, np.uint8)
+    out = np.zeros(8 * _ROW, bool)
     for x in table.column("marks").to_pylist():
-        out |= np.frombuffer(x, np.uint8)
-    return pa.table({"block": table.column("block").slice(0, 1), "marks": pa.array([out.tobytes()], pa.binary())})
+        out[np.frombuffer(x, "<u2")] = True
+    return pa.table({"block": table.column("block").slice(0, 1), "marks": pa.array([np.packbits(out).tobytes()], pa.binary())})
 
 
 def key_filter(keys: DataFrame, n: int):

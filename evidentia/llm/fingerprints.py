@@ -1,20 +1,26 @@
 """Document fingerprints by threshold-scaled sketches.
 
 A fingerprint holds every five-word shingle hash below a fixed fraction of the hash range, so the sketches of two
-texts of very unequal length sample the same shingles, and merge by union; a text whose shingles are all above keeps
-its smallest one. Likeness is the Jaccard ratio of two fingerprints, containment the share of one found in the other.
+texts of very unequal length sample the same shingles, and merge by union. Likeness is the Jaccard ratio of two
+sketches, containment the share of one found in the other. A text that has shingles but none below the threshold has an
+empty sketch; its fingerprint is its smallest hash behind a mark, which only tells equal texts from others: likeness of
+two empty sketches is 1 for equal marks and else 0, merging and containment leave it out.
 
-Each document is compared with the one that follows by id. Ids are cut into ranges at ids that occur, every range
-also gets the first document of the next one, and each is read in order as a stream; no task holds a range.
+Each document is compared with the one that follows by id, then by a hash of the text. Rows are cut into ranges at
+sampled keys, every range also gets the first document of the next one, and each is read in order as a stream; no task
+holds a range.
 
 Defined cases: null and empty texts have the empty fingerprint, which is like only the empty one; null ids come
-first; equal ids are ordered by a hash of the text, and all rows are reported; a single document follows itself;
-other columns are ignored; texts of any length are taken whole; empty tables give no rows.
+first; equal ids are ordered by a hash of the text and may be dealt to several ranges, and all rows are reported; rows
+equal in id and text share a range; a single document follows itself; other columns are ignored; texts of any length are
+taken whole; empty tables give no rows. The containment of an empty sketch in another is unknown (null) if the text has
+shingles, else 1.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +31,39 @@ from evidentia.llm import wordhash
 from evidentia.llm.common import ship
 
 #: One shingle in so many is kept, a power of two.
-SCALE = 8
+SCALE = 4
 #: Bytes of a kept hash in a fingerprint.
 WIDTH = 5
 _FIRST = -(1 << 63)
-#: Documents in a range on average, and ranges at most.
-PER_RANGE, MOST_RANGES = 5_000, 4_096
+#: Rows of a range on average, keys sampled to cut them, and ranges at most: 16 samples a range.
+PER_RANGE, SAMPLED, MOST_RANGES = 5_000, 1 << 20, 1 << 16
 
 
-def sketches(texts: list[bytes], scale: int = SCALE) -> list[np.ndarray]:
-    """The kept hashes of each text, sorted, as numbers of WIDTH bytes."""
+@dataclass
+class Sketch:
+    """Sorted kept hashes, and the mark of a text whose shingles all lie above the threshold."""
+
+    kept: np.ndarray
+    mark: int | None = None
+
+    def text(self) -> str:
+        if self.mark is not None:
+            return f"-{self.mark:0{2 * WIDTH}x}"
+        return self.kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes().hex()
+
+
+def parse(fingerprint: str) -> Sketch:
+    if fingerprint.startswith("-"):
+        return Sketch(np.zeros(0, wordhash.U), int(fingerprint[1:], 16))
+    raw = np.frombuffer(bytes.fromhex(fingerprint), np.uint8).reshape(-1, WIDTH)
+    return Sketch(np.pad(raw, ((0, 0), (8 - WIDTH, 0))).reshape(-1).view(">u8").astype(wordhash.U))
+
+
+def sketches(texts: list[bytes], scale: int = SCALE) -> list[Sketch]:
     top = 64 - (scale.bit_length() - 1)
-    out: list[np.ndarray] = []
+    out: list[Sketch] = []
     for _, held in wordhash.batches(texts):
-        doc, h, *_ = wordhash.words(held)
+        doc, h = wordhash.strong(held)
         at, sh = wordhash.shingles(doc, h, len(held))
         sh = sh >> wordhash.U(top - 8 * WIDTH)  # the kept ones now have WIDTH bytes
         low = sh < wordhash.U(1 << (8 * WIDTH))
@@ -46,31 +71,31 @@ def sketches(texts: list[bytes], scale: int = SCALE) -> list[np.ndarray]:
         ends = np.searchsorted(of, np.arange(len(held) + 1))
         alls = np.searchsorted(at, np.arange(len(held) + 1))
         for i in range(len(held)):
-            own = kept[ends[i] : ends[i + 1]]
-            if not len(own) and alls[i] < alls[i + 1]:
-                own = sh[alls[i] : alls[i + 1]].min(keepdims=True) & wordhash.U((1 << (8 * WIDTH)) - 1)
-            own = np.sort(own)
-            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) > 1 else own)
+            own = np.unique(kept[ends[i] : ends[i + 1]])
+            mark = int(sh[alls[i] : alls[i + 1]].min()) & ((1 << (8 * WIDTH)) - 1) if not len(own) and alls[i] < alls[i + 1] else None
+            out.append(Sketch(own, mark))
     return out
 
 
-def as_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes().hex()
-
-
-def from_text(fingerprint: str) -> set[str]:
-    return {fingerprint[i : i + 2 * WIDTH] for i in range(0, len(fingerprint), 2 * WIDTH)}
+def likeness(a: Sketch, b: Sketch) -> float:
+    if not len(a.kept) and not len(b.kept):
+        return float(a.mark == b.mark)
+    both = len(np.intersect1d(a.kept, b.kept, assume_unique=True))
+    return both / (len(a.kept) + len(b.kept) - both)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    whole = len(a) + len(b) - both
-    return both / whole if whole else 1.0
+def containment(a: Sketch, b: Sketch) -> float | None:
+    """The share of a's shingles that b has, by those kept; None where none is."""
+    if not len(a.kept):
+        return 1.0 if a.mark is None else None
+    return len(np.intersect1d(a.kept, b.kept, assume_unique=True)) / len(a.kept)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of a's shingles that b has."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def merge(a: Sketch, b: Sketch) -> Sketch:
+    """The sketch of all shingles of both texts."""
+    kept = np.union1d(a.kept, b.kept)
+    marks = [m for m in (a.mark, b.mark) if m is not None]
+    return Sketch(kept, min(marks) if marks and not len(kept) else None)
 
 
 def edited(text: str, following: str) -> str:
@@ -78,43 +103,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _dealt(cuts: np.ndarray):
-    """Rows with the range of their id; the first document of each range also goes, as its tail, to the range before."""
-
-    def run(batches):
-        for batch in batches:
-            k = np.array([_FIRST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            part = np.searchsorted(cuts, k, "right") - 1
-            at_cut = np.flatnonzero(cuts[part] == k)
-            rows = np.concatenate((np.arange(len(k)), at_cut))
-            where = np.concatenate((part, (part[at_cut] - 1) % len(cuts)))
-            tail = np.repeat([False, True], [len(k), len(at_cut)])
-            took = [c.take(pa.array(rows)) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(tail), pa.array(k[rows]), *took], ["part", "tail", "k", "doc_id", "text"])
-
-    return run
+def _places(cut_ids: np.ndarray, cut_hashes: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The last cut (id, hash) at or below each key."""
+    lo, hi = np.searchsorted(cut_ids, ids, "left"), np.searchsorted(cut_ids, ids, "right")
+    out = hi - 1
+    for k in np.unique(ids[lo < hi]):
+        rows = np.flatnonzero(ids == k)
+        a, b = lo[rows[0]], hi[rows[0]]
+        out[rows] = a + np.searchsorted(cut_hashes[a:b], hashes[rows], "right") - 1
+    return out
 
 
-def _least(cuts: np.ndarray):
-    """Per range between ``cuts``, the smallest id of a batch."""
+def _dealt(cut_ids: np.ndarray, cut_hashes: np.ndarray):
+    """Rows with the range of their key; the first document of each range also goes, as its tail, to the range before."""
 
     def run(batches):
         for batch in batches:
-            k = np.sort(np.array([_FIRST if x is None else x for x in batch.column(0).to_pylist()], np.int64))
-            part, first = np.unique(np.searchsorted(cuts, k, "right") - 1, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(k[first])], ["part", "k"])
+            k = np.array([_FIRST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+            h = batch.column(2).to_numpy()
+            part = _places(cut_ids, cut_hashes, k, h)
+            first = np.flatnonzero((cut_ids[part] == k) & (cut_hashes[part] == h))
+            rows = np.concatenate((np.arange(len(k)), first))
+            where = np.concatenate((part, (part[first] - 1) % len(cut_ids)))
+            tail = np.repeat([False, True], [len(k), len(first)])
+            took = [batch.column(i).take(pa.array(rows)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(tail), pa.array(k[rows]), pa.array(h[rows]), *took], ["part", "tail", "k", "th", "doc_id", "text"])
 
     return run
 
 
 def _compared(batches):
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "in_edited"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
     held: list[tuple] = []  # at most one row waits for the next
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             some = batch.slice(lo, 500)
-            rows = held + list(zip(*(some.column(c).to_pylist() for c in ("part", "tail", "doc_id", "text")), strict=True))
+            rows = held + list(zip(*(some.column(some.schema.names.index(c)).to_pylist() for c in ("part", "tail", "doc_id", "text")), strict=True))
             held = rows[-1:]
             texts = [r[3] or "" for r in rows]
             use = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
@@ -127,30 +152,34 @@ def _compared(batches):
                 [rows[i][2] for i in use],
                 [len(texts[i]) for i in use],
                 [hashlib.sha256(t).hexdigest() for t in new],
-                [as_text(marks[i]) for i in use],
-                [as_text(x) for x in others],
+                [marks[i].text() for i in use],
+                [x.text() for x in others],
                 [likeness(marks[i], x) for i, x in zip(use, others, strict=True)],
                 [likeness(marks[i], marks[i + 1]) for i in use],
+                [containment(marks[i], x) for i, x in zip(use, others, strict=True)],
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """Per row: its fingerprint, that of its edited text, and its likeness to the edited and to the next text."""
+    """Per row: its fingerprint, that of its edited text, its likeness to the edited and to the next text, and
+    ``in_edited``, its containment in the edited text."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n, least, nulls = docs.agg(F.count("*"), F.min("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    key = F.struct(F.coalesce("doc_id", F.lit(_FIRST)).alias("k"), "th")
+    n, least = docs.agg(F.count("*"), F.min(key)).first()
+    if not n:
+        return docs.sparkSession.createDataFrame([], schema)
     ranges = min(MOST_RANGES, max(1, n // PER_RANGE))
-    inner = docs.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
-    first = _FIRST if nulls or least is None else least
-    # quantiles are doubles, which hold no long beyond 2^53 exactly; the smallest id of each range is one that occurs
-    near = np.array(sorted({first, *(min(max(int(x), first), -_FIRST - 1) for x in inner)}), np.int64)
-    if ranges > 1:
-        starts = docs.select("doc_id").mapInArrow(_least(near), "part int, k long").groupBy("part").agg(F.min("k").alias("k")).collect()
-    cuts = np.array(sorted(r["k"] for r in starts), np.int64) if ranges > 1 else near
-    dealt = docs.mapInArrow(_dealt(cuts), "part int, tail boolean, k long, doc_id long, text string")
-    order = dealt.repartition("part").sortWithinPartitions("part", "tail", "k", F.xxhash64("text"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    cuts = {(least["k"], least["th"])}
+    if ranges > 1:  # keys that occur, so that the first row of a range is known by its key
+        some = docs.select("doc_id", "th").sample(min(1.0, SAMPLED / n), seed=7).select(key.alias("x")).select("x.*").toArrow()
+        some = np.array(sorted(zip(some.column("k").to_pylist(), some.column("th").to_pylist(), strict=True))[:: max(1, some.num_rows // ranges)], np.int64).reshape(-1, 2)
+        cuts |= {(int(a), int(b)) for a, b in some}
+    ids, hashes = np.array(sorted(cuts), np.int64).T
+    dealt = docs.mapInArrow(_dealt(ids, hashes), "part int, tail boolean, k long, th long, doc_id long, text string")
+    order = dealt.repartition("part").sortWithinPartitions("part", "tail", "k", "th")
     return order.mapInArrow(_compared, schema)
 
 

@@ -10,9 +10,12 @@ Tokens are ordered rarest first, by a count sketch over all documents, then by h
 |d| <= |q| the first |q| - ceil(0.8 |q|) + 1 tokens of q and |d| - ceil(2 t / (1 + t) |d|) + 1 of d share one; so
 the search is exact for any order, and a passage that many documents share comes last and opens nothing.
 
+Words are hashed by BLAKE2b, so none can be made to collide cheaply; shingles are compared by 64 bits over their words'
+hashes, and sets of a class by 128 bits: classes whose second half differs are told apart.
+
 Defined cases: null, empty and white-space texts have no shingles, link with nothing and are their own component;
 null ids never name a component unless all its ids are null; repeated rows are kept and reported alike; other
-columns are ignored; empty tables give no rows. Shingles are compared by 64-bit hash.
+columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,18 +31,22 @@ from evidentia.llm import wordhash
 from evidentia.llm.common import WORD, discard, key_filter, materialize, passes, ship
 from evidentia.llm.graph import components
 
-#: The sketch has as many counters as this to 2**MOST_BITS: 64 MB of one-byte levels at most are broadcast.
-LEAST_BITS, MOST_BITS = 20, 26
+#: The sketch has as many counters as this to 2**MOST_BITS: 16 MB of one-byte levels at most are broadcast, and a task
+#: holds 32 MB of counts, each full at 65,535, which is more than common enough to come last.
+LEAST_BITS, MOST_BITS = 20, 24
+_FULL = (1 << 16) - 1
 #: Counters in one row of a partial sketch.
 ROW = 2048
 TOKEN_BITS = 56
 _NO_ID = (1 << 63) - 1
+#: Salt of the second half of a set's key.
+_SECOND = 0xD6E8FEB86659FD93
 
 
 def _sets(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray]]:
     """Index of a text and the sorted distinct shingle hashes of it; texts without words are left out."""
     for first, held in wordhash.batches(texts):
-        doc, h, *_ = wordhash.words(held)
+        doc, h = wordhash.strong(held)
         at, sh = wordhash.shingles(doc, h, len(held), width)
         if not len(at):
             continue
@@ -49,27 +56,29 @@ def _sets(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield first + int(at[a]), own[np.concatenate(([True], own[1:] != own[:-1]))]
 
 
-def _set_key(own: np.ndarray) -> int:
+def _set_key(own: np.ndarray, salt: int = 0x9E3779B97F4A7C15) -> int:
     """A signed 64-bit key of a set of hashes."""
-    place = np.arange(1, len(own) + 1, dtype=wordhash.U) * wordhash.U(0x9E3779B97F4A7C15)
+    place = np.arange(1, len(own) + 1, dtype=wordhash.U) * wordhash.U(salt)
     return int(wordhash.mix(np.array([wordhash.mix(own ^ place).sum(dtype=wordhash.U) + wordhash.U(len(own))], wordhash.U))[0].astype(np.int64))
 
 
 def _sketch(bits: int, width: int):
     def run(batches):
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             for _, held in wordhash.batches(wordhash.encoded(batch.column(0))):
-                doc, h, *_ = wordhash.words(held)
+                doc, h = wordhash.strong(held)
                 _, sh = wordhash.shingles(doc, h, len(held), width)
-                counts += np.bincount((sh >> wordhash.U(64 - bits)).astype(np.int64), minlength=1 << bits)
+                at, n = np.unique((sh >> wordhash.U(64 - bits)).astype(np.int64), return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, _FULL)
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() % 256
         rows = counts.reshape(-1, ROW)
-        for lo in range(0, len(rows), 256):
-            some = rows[lo : lo + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(range(lo, lo + len(some)), pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array([r.astype(np.uint32).tobytes() for r in some], pa.binary())], ["block", "part", "n"])
+        used = np.flatnonzero(rows.any(axis=1))
+        for lo in range(0, len(used), 256):
+            some = used[lo : lo + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([part] * len(some), pa.int32()), pa.array([rows[i].astype("<u4").tobytes() for i in some], pa.binary())], ["block", "part", "n"])
 
     return run
 
@@ -148,15 +157,16 @@ def _prefixes(levels, width: int, percent: int):
         table = levels.value
         for batch in batches:
             ids = batch.column(0)
-            n, key, low, common, sig, toks = ([None] * len(ids) for _ in range(6))
+            n, key, chk, low, common, sig, toks = ([None] * len(ids) for _ in range(7))
             for i, own in _sets(wordhash.encoded(batch.column(1)), width):
                 t = _tokens(own, table)
                 n[i], key[i], low[i] = len(own), _set_key(own), int(own[0].astype(np.int64))
+                chk[i] = _set_key(own, _SECOND)
                 sig[i] = signature(own)
                 t = t[: probe_length(len(own), percent)]
                 common[i] = int(16 * (t >> wordhash.U(TOKEN_BITS)).mean())
                 toks[i] = t.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([x or 0 for x in n], pa.int64()), pa.array(key, pa.int64()), pa.array(low, pa.int64()), pa.array(common, pa.int32()), pa.array(sig, pa.binary()), pa.array(toks, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "n", "cls", "low", "common", "sig", "toks", "th"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([x or 0 for x in n], pa.int64()), pa.array(key, pa.int64()), pa.array(chk, pa.int64()), pa.array(low, pa.int64()), pa.array(common, pa.int32()), pa.array(sig, pa.binary()), pa.array(toks, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "n", "cls", "chk", "low", "common", "sig", "toks", "th"])
 
     return run
 
@@ -183,16 +193,25 @@ def _full_sets(wanted, bits: int, width: int):
         for batch in batches:
             ids = np.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             hit = np.flatnonzero(passes(wanted.value, bits, ids))
-            cls, sets = [], []
+            cls, chk, sets = [], [], []
             for _, own in _sets(wordhash.encoded(batch.column(1).take(pa.array(hit))), width):
                 cls.append(_set_key(own))
+                chk.append(_set_key(own, _SECOND))
                 sets.append(own.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(chk, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "chk", "s"])
 
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def told_apart(df: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """``df`` with ``cls, chk``: classes listed in ``clash``, of several sets, are renamed by both halves of the key."""
+    if clash is None:
+        return df
+    marked = df.join(clash.select("cls", F.lit(True).alias("_several")), "cls", "left")
+    return marked.withColumn("cls", F.when(F.col("_several"), F.xxhash64("cls", "chk")).otherwise(F.col("cls"))).select(*df.columns)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, clash: DataFrame | None = None) -> DataFrame:
     """The pairs ``a, b`` of classes that really link, materialized.
 
     Signatures bound how much two sets differ and leave few pairs. The full sets of those are made anew from one text
@@ -205,8 +224,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, pe
     ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     need = materialize(ids.join(classes.select("cls", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id")), "cls"), "wanted")
     wanted, bits = key_filter(need.select("id"), need.count())
-    sets = docs.select("doc_id", "text").mapInArrow(_full_sets(wanted, bits, width), "cls long, s array<long>")
-    sets = sets.join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    sets = docs.select("doc_id", "text").mapInArrow(_full_sets(wanted, bits, width), "cls long, chk long, s array<long>")
+    sets = told_apart(sets, clash).join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     i = F.size(F.array_intersect("sa", "sb"))
     return materialize(both.filter(100 * i >= percent * (F.size("sa") + F.size("sb") - i)).select("a", "b"), "links")
@@ -228,10 +247,16 @@ def grouped(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFra
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     bits = min(MOST_BITS, max(LEAST_BITS, (2 * docs.count()).bit_length()))
     levels = spark.sparkContext.broadcast(rarity(docs.select("text"), bits, width))
-    found = docs.mapInArrow(_prefixes(levels, width, percent), "doc_id long, n long, cls long, low long, common int, sig binary, toks array<long>, th long")
+    found = docs.mapInArrow(_prefixes(levels, width, percent), "doc_id long, n long, cls long, chk long, low long, common int, sig binary, toks array<long>, th long")
     prefixes = materialize(found, "prefixes")
+    firsts = [F.first(c).alias(c) for c in ("n", "low", "common", "sig")]
+    by_class = lambda df: materialize(df.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.min("chk").alias("chk"), F.max("chk").alias("_chk"), *firsts), "classes")
+    classes, clash = by_class(prefixes), None
+    if classes.filter("chk <> _chk").head(1):  # sets of equal 64-bit keys: some dozens among 10**10 documents
+        clash = materialize(classes.filter("chk <> _chk").select("cls"), "clash")
+        prefixes = materialize(told_apart(prefixes, clash), "prefixes")
+        classes = by_class(prefixes)
     some = prefixes.filter("n > 0")
-    classes = materialize(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("common").alias("common"), F.first("sig").alias("sig")), "classes")
 
     # the matrix: only tokens of two classes or more can open anything
     shared = some.select("cls", F.explode("toks").alias("token")).groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("token")
@@ -253,7 +278,7 @@ def grouped(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFra
     near = probe.join(top, "token").filter((F.col("cls") != F.col("l.d")) & fits(F.col("n"), F.col("l.m")))
     near = near.groupBy("cls").agg(F.min(F.struct("pos", F.col("l.d").alias("d"))).alias("x"), F.max("l").alias("y"))
     near = near.select("cls", F.explode(F.array("x.d", "y.d")).alias("d"))
-    links = verify(materialize(_ordered(alike.unionByName(near)), "pairs"), docs, classes, width, percent)
+    links = verify(materialize(_ordered(alike.unionByName(near)), "pairs"), docs, classes, width, percent, clash)
     groups = components(links)
 
     probe_table, probe = probe, _in_groups(probe.drop("common"), groups, "cls", "g")
@@ -270,7 +295,7 @@ def grouped(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFra
     more = materialize(more, "candidates")
     discard(probe_table)
     if more.head(1):
-        groups = components(links.unionByName(verify(more, docs, classes, width, percent)))
+        groups = components(links.unionByName(verify(more, docs, classes, width, percent, clash)))
 
     return found, _in_groups(classes, groups, "cls", "c").select("cls", "doc_id", "rows", "c")
 

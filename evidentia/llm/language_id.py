@@ -178,8 +178,14 @@ class Evidence:
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
-    """Documents declare their language in ``lang`` and come from the host ``source``; they have no address."""
-    return docs.withColumn("markup", F.lower(F.substring_index("lang", "-", 1))).withColumn("suffix", F.lit(None).cast("string")).withColumn("host", F.col("source"))
+    """Documents declare their language in ``lang`` and come from the host ``source``.
+
+    The suffix is the last label of a source with dots; of one without, the letters it begins with, so numbered sources of
+    one family share a prior.
+    """
+    name = F.lower("source")
+    suffix = F.when(name.contains("."), F.substring_index(name, ".", -1)).otherwise(F.regexp_extract(name, r"^[^0-9]*", 0))
+    return docs.withColumn("markup", F.lower(F.substring_index("lang", "-", 1))).withColumn("suffix", F.nullif(suffix, F.lit(""))).withColumn("host", F.col("source"))
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
@@ -210,7 +216,7 @@ def accepted(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, min_poster
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(from_documents(docs).select("doc_id", "text", "markup", "suffix", "host"))
-    return out.select("doc_id", F.col("markup").alias("declared"), F.col("host"), "language", "posterior", "prior", "n_text", "kept")
+    return out.select("doc_id", F.col("markup").alias("declared"), "suffix", "host", "language", "posterior", "prior", "n_text", "kept")
 
 
 def language_id_pages(spark, sf_dir: str) -> DataFrame:

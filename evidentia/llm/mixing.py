@@ -3,12 +3,13 @@
 Every source is a stream: its documents in hashed order, laid end to end by words, and once more behind
 that. The stream is cut into equal-token blocks. Van der Corput points, mapped through the cumulative slot
 counts of the sources, say which source each slot of the mix draws from; slots are ranked per source, and
-the r-th slot takes the r-th block. Only DataFrame functions are used.
+the r-th slot takes the r-th block. A document begins in the mix at the slot of the block in which it begins, and the
+mixed documents come in the order of their slots. Only DataFrame functions are used.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; null, repeated and
-equal ids are ordered by id and size, and each row is mixed by itself; an empty table, or one without words,
+equal ids are ordered by a hash of id and text, and each row is mixed by itself; an empty table, or one without words,
 gives every row taken 0. Other columns are ignored, so their names cannot clash. A document larger than a
-block is spread over several blocks.
+block is spread over several blocks; one without words stands once, anywhere in the order.
 """
 
 from __future__ import annotations
@@ -82,14 +83,15 @@ def schedule(targets: DataFrame, block: int = 1024) -> tuple[DataFrame, int]:
     return ranked.filter("rank < need").select("sid", "slot", F.col("rank").cast("long").alias("rank")), block
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 1024, text: str = "text") -> DataFrame:
-    """Per row: ``doc_id, source, size, source_size, target, taken, copies`` and ``first_slot``, the slot it first appears in.
+#: Slots of one output partition of the mixed documents, on average.
+SLOTS = 50_000
 
-    ``taken`` counts the words of its blocks' overlaps; ``copies`` is how often the document begins in the mix
-    (once for a document without words).
-    """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    base = docs.select("doc_id", "source", words(F.col(text)).alias("size"), F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long").alias("_u"))
+
+def _drawn(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, block: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their place in their source's stream, and their pieces: ``_row, slot, words, begins``."""
+    body = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    key = F.concat_ws("_", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), body)
+    base = docs.select("doc_id", "source", words(F.col(text)).alias("size"), F.xxhash64(text).alias("_th"), F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long").alias("_u"))
     base = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "sizes")
     targets = materialize(source_targets(base, weights, share, cap), "targets")
     slots, block = schedule(targets, block)
@@ -103,42 +105,73 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     pieces = passes.withColumn("rank", F.explode(F.sequence(F.expr(f"_lo div {block}"), F.expr(f"(_hi - 1) div {block}"))))
     in_block = F.least(F.col("_hi"), (F.col("rank") + 1) * block) - F.greatest(F.col("_lo"), F.col("rank") * block)
     begins = F.expr(f"_lo div {block}") == F.col("rank")
-    drawn = pieces.join(slots, ["sid", "rank"]).groupBy("_row").agg(F.sum(in_block).alias("taken"), F.sum(begins.cast("int")).alias("copies"), F.min("slot").alias("first_slot"))
-    out = placed.join(drawn, "_row", "left").withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.coalesce("copies", F.lit(0))).cast("int"))
+    return placed, pieces.join(slots.hint("merge"), ["sid", "rank"]).select("_row", "slot", in_block.alias("words"), begins.alias("begins"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 1024, text: str = "text") -> DataFrame:
+    """Per row: ``doc_id, source, size, source_size, target, taken, copies`` and ``first_slot``, the slot it first appears in.
+
+    ``taken`` counts the words of its blocks' overlaps; ``copies`` is how often the document begins in the mix
+    (once for a document without words).
+    """
+    placed, pieces = _drawn(docs, weights, share, cap, block, text)
+    drawn = pieces.groupBy("_row").agg(F.sum("words").alias("taken"), F.sum(F.col("begins").cast("int")).alias("copies"), F.min("slot").alias("first_slot"))
+    out = placed.join(drawn.hint("merge"), "_row", "left").withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.coalesce("copies", F.lit(0))).cast("int"))
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "copies", "first_slot")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as often as it begins there; the columns of ``docs``.
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 1024) -> DataFrame:
+    """The documents of the mix in the order of the slots where they begin, as often as they do; the columns of ``docs``.
 
-    Equal (id, source, size) rows are numbered on both sides, so each row meets its own decision.
+    Rows meet their slots by id, source, size and a hash of the text; if some agree in all, they are numbered on both
+    sides. Partitions are runs of slots, which hold equal numbers of words.
     """
-    mine = docs.withColumn("_size", words(F.col("text")))
-    keys = [F.col("doc_id"), F.col("source"), F.col("_size")]
-    mine = mine.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("text")))
-    told = mix(docs, **how).withColumnRenamed("size", "_size")
-    told = told.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("copies"))))
-    told = told.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(("doc_id", "source", "_size", "_n"))], "copies")
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(("doc_id", "source", "_size", "_n"))]
-    out = mine.join(told, same[0] & same[1] & same[2] & same[3]).filter("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    placed, pieces = _drawn(docs, weights, share, cap, block, "text")
+    begun = pieces.filter("begins").select("_row", "slot")
+    told = placed.select("_row", "doc_id", "source", "size", "_th").join(begun.hint("merge"), "_row", "left").filter("slot is not null or size = 0")
+    told = materialize(told, "begun")
+    last = (told.agg(F.max("slot")).first()[0] or 0) + 1
+    names = ["doc_id", "source", "size", "_th"]
+    mine = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), words(F.col("text")).alias("_n"), F.xxhash64("text").alias("_h"))
+    alike = placed.groupBy(*names).agg(F.count("*").alias("k")).filter("k > 1")
+    if alike.head(1):
+        order = placed.select("_row", F.row_number().over(W.partitionBy(*names).orderBy("_row")).alias("_i"))
+        told, names = told.join(order, "_row"), [*names, "_i"]
+        mine = mine.withColumn("_i0", F.row_number().over(W.partitionBy("_d", "_s", "_n", "_h").orderBy("_h")))
+    told = told.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], "slot")
+    same = F.lit(True)
+    for i, c in enumerate(["_d", "_s", "_n", "_h", "_i0"][: len(names)]):
+        same = F.col(c).eqNullSafe(F.col(f"_k{i}")) if i == 0 else same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    out = mine.join(told, same).select("_doc", F.coalesce("slot", F.pmod("_h", F.lit(last))).alias("_slot"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-last // SLOTS))
+    out = out.repartitionById(parts, F.expr(f"cast(cast(_slot as double) * {parts} / {last} as int)")).sortWithinPartitions("_slot", F.xxhash64("_doc.doc_id"))
+    return out.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '_' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][sid % 3 + 1] AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 r AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
   sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM w),
 k AS (SELECT rest, ws FROM r WHERE rest / ws < cap / w ORDER BY cap / w, sid LIMIT 1),
-t AS (SELECT source, source_size, CASE WHEN cap <= w * (SELECT rest / ws FROM k) THEN cap ELSE w * (SELECT rest FROM k) / (SELECT ws FROM k) END AS target FROM r),
-p AS (SELECT d.doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS q,
-  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(q, a + size) - a) + greatest(0, least(q, a + source_size + size) - a - source_size))::BIGINT AS taken FROM p
+t AS (SELECT sid, source, source_size, CASE WHEN cap <= w * (SELECT rest / ws FROM k) THEN cap ELSE w * (SELECT rest FROM k) / (SELECT ws FROM k) END AS target FROM r),
+n AS (SELECT sid, ((floor(target + 0.5)::BIGINT + 1023) // 1024)::BIGINT AS need FROM t),
+f AS (SELECT sid, need, (coalesce(sum(need) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first, (sum(need) OVER ())::BIGINT AS total FROM n WHERE need > 0),
+m AS (SELECT *, length(bin((total - 1)::UBIGINT))::BIGINT AS m FROM f),
+v AS (SELECT sid, need, m, unnest(range((first * (1 << m) + total - 1) // total, ((first + need) * (1 << m) + total - 1) // total)) AS v FROM m),
+c AS (SELECT sid, need, list_sum(list_transform(range(m), lambda i: ((v >> i) & 1) << (m - 1 - i)))::BIGINT AS slot FROM v),
+o AS (SELECT sid, need, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM c),
+p AS (SELECT d.r, d.doc_id, t.sid, size, source_size, target, floor(target + 0.5)::BIGINT AS q,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size, d.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+z AS (SELECT r, sid, unnest([a, a + source_size]) AS lo, size, q FROM p WHERE size > 0),
+y AS (SELECT r, sid, unnest(range(lo // 1024, (least(lo + size, q) - 1) // 1024 + 1)) AS rank FROM z WHERE lo < q),
+x AS (SELECT y.r, min(slot)::BIGINT AS first_slot FROM y JOIN o ON o.sid = y.sid AND o.rank = y.rank AND o.rank < o.need GROUP BY y.r)
+SELECT doc_id, size, source_size, target, (greatest(0, least(q, a + size) - a) + greatest(0, least(q, a + source_size + size) - a - source_size))::BIGINT AS taken, first_slot FROM p LEFT JOIN x USING (r)
 """

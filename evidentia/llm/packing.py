@@ -145,9 +145,12 @@ def _pack(capacity: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, rounds: int = 6) -> DataFrame:
-    """Adds ``sequence_id, offset`` and the certificate ``partition_bins, partition_bound`` to pieces with ``length, salt``."""
-    spread = F.xxhash64(*[c for c in pieces.columns if c != "ids"])
+def pack(pieces: DataFrame, capacity: int = 1024, rounds: int | None = None) -> DataFrame:
+    """Adds ``sequence_id, offset`` and the certificate ``partition_bins, partition_bound`` to pieces with ``length, salt``.
+
+    Rounds of exchange go on until the number of sequences is certified or a round saves none, or for ``rounds``.
+    """
+    spread = F.xxhash64(*pieces.columns)
     pieces = pieces.withColumn("_h", spread)
     full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id())
     one = F.lit(1).cast("long")
@@ -161,12 +164,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, rounds: int = 6) -> DataFrame:
     bound, settled = lower_bound(counts, capacity), 0
     types = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", part long, bin long, offset long, fill long, bins long, bound long"
-    for turn in range(rounds):
+    turn = -1
+    while rounds is None or turn + 1 < rounds:
+        turn += 1
         parts = max(1, -(-n // PER_PARTITION))
         dealt = pool.select(*pieces.columns).withColumn("part", F.pmod(F.xxhash64("_h", F.lit(turn)), F.lit(parts)))
         tried = materialize(dealt.groupBy("part").applyInArrow(_pack(capacity), schema), "packed")
         used = tried.filter("offset = 0").count()
-        tried = tried.withColumn("sequence_id", (F.lit(turn).cast("long") * (1 << 56)) + F.col("part") * (1 << 24) + F.col("bin"))
+        tried = tried.withColumn("sequence_id", (F.lit(turn).cast("long") * (1 << 48)) + F.col("part") * (1 << 24) + F.col("bin"))
         if before is not None and used >= before[1]:
             break
         if before is not None:
@@ -192,13 +197,17 @@ def pack(pieces: DataFrame, capacity: int = 1024, rounds: int = 6) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 1024, end: int = 2, with_ids: bool = True) -> DataFrame:
-    """Pieces of the documents with their places in sequences; ``ids`` are the tokens themselves."""
+    """Pieces of the documents with their places in sequences; ``ids`` are the tokens themselves.
+
+    Pieces are packed by their lengths alone; tokens join their places at the end, by a number of the piece.
+    """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pieces = materialize(tokenize(docs, path, capacity, end, with_ids), "pieces")
-    return pack(pieces, capacity)
+    pieces = materialize(tokenize(docs, path, capacity, end, with_ids).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    packed = pack(pieces.drop("ids"), capacity)
+    return (packed.join(pieces.select("pid", "ids").hint("merge"), "pid") if with_ids else packed).drop("pid")
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

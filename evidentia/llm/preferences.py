@@ -9,8 +9,9 @@ Completions carry the spans, in characters, of what an assistant says; the rest
 Marks of the template inside a text are broken up, so no text can end its turn.
 
 Defined cases: turns are ordered by number, then role, then text, nulls first, so repeated rows are repeated turns;
-null roles are `unknown` and null texts empty when written; turns with a null id are one conversation; other columns
-are ignored; texts of any length are kept whole; an empty table gives no rows.
+null roles are `unknown` and null texts empty when written; a turn with a null id is a conversation of its own, and these
+are paired after those with ids; other columns are ignored; texts of any length are kept whole; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -60,36 +61,44 @@ def common_turns(a: Column, b: Column) -> Column:
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """``conv_id, turns``: a conversation's turns in order. A conversation is one row of the output, so it must fit one."""
-    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    """``conv, conv_id, turns``: a conversation's turns in order, and a key of its own. Written once.
+
+    A conversation is one row of the output, so it must fit one; turns without an id are never gathered.
+    """
+    turn = F.struct("turn", "role", "text")
+    known = turns.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = turns.filter("conv_id is null").select("conv_id", F.array(turn).alias("turns"))
+    return materialize(known.unionByName(alone).withColumn("conv", F.monotonically_increasing_id()), "conversations")
 
 
 def pair_by_opening(convs: DataFrame) -> DataFrame:
-    """``chosen_id, rejected_id, paired``: conversations with equal first turns, two by two.
+    """``chosen, rejected, paired``: keys of conversations with equal first turns, two by two.
 
     A very common opening is ranked in buckets, so no task sees all its conversations.
     """
     first = F.get("turns", F.lit(0))
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
-    slim = convs.select("conv_id", F.sha2(F.to_json(F.struct(first["role"].alias("role"), first["text"].alias("text"))), 256).alias("o"), F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long").alias("_u"))
+    u = F.conv(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    slim = convs.select("conv", "conv_id", F.sha2(F.to_json(F.struct(first["role"].alias("role"), first["text"].alias("text"))), 256).alias("o"), F.coalesce(u, F.shiftrightunsigned(F.xxhash64("conv"), 4)).alias("_u"))
     slim = materialize(slim, "openings")
     sizes = slim.groupBy("o").agg(F.count("*").alias("_m"))
-    ranked = slim.join(sizes, "o").withColumn("_b", bucket_of(F.col("_u") * 4, F.ceil(F.col("_m") / BUCKET)))
-    ranked = running(ranked, ["o"], "_b", [F.col("_u"), F.col("conv_id")], F.lit(1), "_r")
-    side = lambda k: F.max(F.when(F.col("_r") % 2 == k, F.struct("conv_id")))
-    pairs = ranked.groupBy("o", F.expr("_r div 2").alias("_pair")).agg(side(0).alias("a"), side(1).alias("b"))
-    return pairs.select(F.col("a.conv_id").alias("chosen_id"), F.col("b.conv_id").alias("rejected_id"), F.col("b").isNotNull().alias("paired"))
+    buckets = F.ceil(F.col("_m") / BUCKET)
+    late = F.when(F.col("conv_id").isNull(), buckets.cast("int")).otherwise(0)
+    ranked = slim.join(sizes, "o").withColumn("_b", bucket_of(F.col("_u") * 4, buckets) + late)
+    ranked = running(ranked, ["o"], "_b", [F.col("_u"), F.col("conv_id"), F.col("conv")], F.lit(1), "_r")
+    side = lambda k: F.max(F.when(F.col("_r") % 2 == k, F.col("conv")))
+    pairs = ranked.groupBy("o", F.expr("_r div 2").alias("_pair")).agg(side(0).alias("chosen"), side(1).alias("rejected"))
+    return pairs.select("chosen", "rejected", F.col("rejected").isNotNull().alias("paired"))
 
 
 def format_preferences(convs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``conv_id, turns`` and ``chosen_id, rejected_id, paired`` to prompts and masked completions."""
-    a = convs.select(F.col("conv_id").alias("_a"), F.col("turns").alias("c"))
-    b = convs.select(F.col("conv_id").alias("_b"), F.col("turns").alias("r"), F.lit(True).alias("_p"))
-    both = pairs.join(a, F.col("chosen_id").eqNullSafe(F.col("_a"))).join(b, F.col("rejected_id").eqNullSafe(F.col("_b")) & (F.col("paired") == F.col("_p")), "left")
+    """Conversations and their pairs to prompts and masked completions."""
+    a = convs.select(F.col("conv").alias("_a"), F.col("conv_id").alias("chosen_id"), F.col("turns").alias("c"))
+    b = convs.select(F.col("conv").alias("_b"), F.col("conv_id").alias("rejected_id"), F.col("turns").alias("r"))
+    both = pairs.join(a, F.col("chosen") == F.col("_a")).join(b, F.col("rejected") == F.col("_b"), "left")
     shared = F.when(F.col("paired"), common_turns(F.col("c"), F.col("r"))).otherwise(F.greatest(F.size("c") - 1, F.lit(0)))
     both = both.withColumn("prompt_turns", shared)
     rest = lambda c: F.slice(c, F.col("prompt_turns") + 1, F.greatest(F.size(c) - F.col("prompt_turns"), F.lit(0)))
-    both = both.withColumn("_c", rest("c")).withColumn("_r", F.when(F.col("paired"), rest("r")))
+    both = both.drop("chosen", "rejected").withColumn("_c", rest("c")).withColumn("_r", F.when(F.col("paired"), rest("r")))
     kind = F.when(~F.col("paired"), "single").when((F.size("_c") == 0) & (F.size("_r") == 0), "tie").otherwise("pair")
     return both.select(
         "chosen_id",
@@ -105,7 +114,7 @@ def format_preferences(convs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def op6_preferences(spark, sf_dir: str) -> DataFrame:
-    convs = materialize(conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "conversations")
+    convs = conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     out = format_preferences(convs, pair_by_opening(convs))
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return out.withColumn("chosen_spans", told("chosen_spans")).withColumn("rejected_spans", told("rejected_spans"))
@@ -113,8 +122,9 @@ def op6_preferences(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts,
-  ('0x' || substr(md5(coalesce(conv_id::VARCHAR, '')), 1, 15))::BIGINT AS u FROM conversations GROUP BY conv_id),
-k AS (SELECT conv_id, ts, ts[1] AS o, row_number() OVER (PARTITION BY ts[1] ORDER BY u, conv_id NULLS FIRST) - 1 AS r FROM c),
+  ('0x' || substr(md5(conv_id::VARCHAR), 1, 15))::BIGINT AS u FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL SELECT NULL, [{'role': role, 'text': text}], NULL FROM conversations WHERE conv_id IS NULL),
+k AS (SELECT conv_id, ts, ts[1] AS o, row_number() OVER (PARTITION BY ts[1] ORDER BY u NULLS LAST, conv_id) - 1 AS r FROM c),
 p AS (SELECT a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.ts AS ca, b.ts AS cb, b.o IS NOT NULL AS paired
   FROM k a LEFT JOIN k b ON a.o IS NOT DISTINCT FROM b.o AND b.r = a.r + 1 WHERE a.r % 2 = 0),
 n AS (SELECT *, (CASE WHEN paired THEN coalesce(list_filter(range(0, least(len(ca), len(cb))), lambda i: ca[i + 1] IS DISTINCT FROM cb[i + 1])[1], least(len(ca), len(cb)))
