@@ -3,6 +3,10 @@
 Every stage takes the documents its predecessor kept and returns documents, the last one packed sequences. ``run``
 writes each stage's result as Parquet to the shared scratch folder and reads it again.
 
+Defined cases: null, empty and letterless texts are no known language and go in the first stage; repeated rows are one
+document from the third stage on; null ids are kept as documents of their own; other columns pass unchanged up to the
+last stage; texts of any length are taken whole; an empty table gives empty tables of the same columns.
+
 The result is not expressed in SQL: language models, chunk hashes and tokenizers are not. Stages are tested one by one
 against brute-force versions.
 """
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from evidentia.llm.common import materialize
+from evidentia.llm.common import WORD, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +26,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that stand elsewhere before; documents that were nothing else go. ``n_chars`` follows the text."""
-    cut = line_dedup.dedup_lines(docs).filter((F.col("removed_words") == 0) | (F.col("text") != ""))
+    """Cuts passages that stand elsewhere before. ``n_chars`` follows the text.
+
+    Documents that lose four fifths of their words or more go: what was cut is kept elsewhere, and the rest is the
+    remnant of a near copy at the similarity of 0.8 that the next stage takes, which cannot see it any more.
+    """
+    left = F.regexp_count("text", F.lit(WORD))
+    remnant = F.when(F.col("removed_words") > 0, 5 * F.col("removed_words") >= 4 * (F.col("removed_words") + left)).otherwise(False)
+    cut = line_dedup.dedup_lines(docs).filter(~F.coalesce(remnant, F.lit(False)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
@@ -36,13 +46,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents until the sources have their weights."""
+    """Repeats or leaves out documents until the sources have their weights, in the order of the schedule."""
     return mixing.mixed_documents(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1024 tokens."""
-    return packing.pack_documents(docs, with_ids=False)
+    """Packs what is left into sequences of 1024 tokens, which ``ids`` hold."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [
