@@ -1,13 +1,17 @@
-"""Line dedup by anchored passages.
+"""Line dedup by content-defined line chunks.
 
-A text's runs of GRAM words, white space included, are hashed; the smallest hash among SPAN neighbouring runs is an
-anchor. The choice depends on the words around alone, so two equal passages of GRAM + SPAN - 1 = 49 words or more have
-an anchor in common, wherever they stand. Where an anchor occurred before anywhere (smallest doc_id, then place), the
-bytes around it are compared with those around the first one, and the match reaches from the anchor to the left and to
-the right as far as whole words are equal, up to SPAN - 1 words: the ends of a passage lie no farther from an anchor.
-What is equal goes, where ``min_words`` or more neighbouring words go together; a match never overlaps its origin.
+Lines are the text's own; one of more than LONG words is wrapped into pieces of LONG words at most, at places that the
+hashes of the words around choose. Every line is hashed, white space inside it included, and rolling hashes run over
+each LINES neighbouring line hashes. The smallest of SPAN neighbouring rolling hashes is a boundary, where a chunk of
+lines begins. The choice depends on the lines around alone, so a passage that stands in two texts has boundaries in
+common, wherever it stands: every passage of more than 50 words has, unless its lines are unusually cut.
 
-Only the first occurrence of an anchor is compared. Shorter repeats go where they have an anchor in common.
+Where the lines at a boundary occurred before anywhere (smallest doc_id, then place), the bytes there are compared with
+those of the first occurrence, and the match reaches to the left and to the right as far as whole words are equal: from
+boundary to boundary inside a repeated passage, and up to REACH words beyond its outermost ones. What is equal, two whole
+lines at least, goes, where ``min_words`` or more neighbouring words go together; a match never overlaps its origin.
+
+Only the first occurrence is compared, and repeats without a boundary of their own in common stay: short ones.
 
 Defined cases: null texts stay null; empty texts stay empty; rows of an equal id count as one document, so repeated
 rows all keep what the first occurrence keeps; null ids come last and count as one document; other columns, whatever
@@ -26,8 +30,11 @@ from pyspark.sql import functions as F
 from evidentia.llm import wordhash
 from evidentia.llm.common import key_filter, materialize, passes, ship
 
-#: Words of an anchor, and neighbouring runs of words of which one is an anchor.
-GRAM, SPAN = 12, 38
+#: Words of a line at most, lines of a rolling hash, neighbouring rolling hashes of which one is a boundary, and words
+#: around a boundary that are compared.
+LONG, LINES, SPAN, REACH = 6, 2, 6, 48
+#: Fewer repeated words in a row stay: headings and short sign-offs repeat by chance.
+MIN_WORDS = 8
 _NO_ID = (1 << 63) - 1
 _GAP, _TORN = re.compile(rb"[ \t-\r]*"), re.compile(rb"[^ \t-\r]*\Z")
 
@@ -41,15 +48,35 @@ def _slide(pick, v: np.ndarray, width: int) -> np.ndarray:
     return pick(v[: len(v) - (width - have)], v[width - have :]) if width > have else v
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of all texts, in order: the text's index, hash, first byte of each anchor; first and last byte of what may match around it."""
+def _smallest(v: np.ndarray, span: int) -> np.ndarray:
+    """Which values are the smallest of some ``span`` neighbours."""
+    if len(v) < span:
+        return np.zeros(len(v), bool)
+    rim = np.zeros(span - 1, v.dtype)
+    return _slide(np.maximum, np.concatenate((rim, _slide(np.minimum, v, span), rim)), span) == v
+
+
+def line_starts(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The first word of every line: ``begins`` marks those of own lines, longer ones are wrapped."""
+    v = wordhash.mix(h * wordhash._STEPS[1] + np.concatenate(([wordhash.U(0)], h[:-1])) * wordhash._STEPS[2]) | wordhash.U(1)
+    v[begins] = 0  # a span that reaches over the beginning of a line chooses nothing else
+    return np.flatnonzero(begins | _smallest(v, LONG))
+
+
+def boundaries(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of all texts, in order: the text's index, hash, first and last byte of the lines at each boundary; first and last byte
+    of what may match around them."""
     doc, h, s, e, data = wordhash.words(texts, lower=False)
     n = len(h)
-    ends = np.searchsorted(doc, np.arange(len(texts)), "right")
-    m = n - GRAM + 1
-    if m <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    # each word with the white space before it, but for the first of a run
+    none = tuple(np.zeros(0, np.int64) for _ in range(6))
+    if not n:
+        return none
+    breaks = np.cumsum(data == 10)
+    begins = np.concatenate(([True], (breaks[s[1:]] != breaks[e[:-1] - 1]) | (doc[1:] != doc[:-1])))
+    first = line_starts(h, begins)
+    last = np.append(first[1:], n) - 1
+    of = doc[first]
+    # a word with the white space before it, but for the first of a line
     sums = np.concatenate(([0], np.cumsum(data, dtype=wordhash.U)))
     gap = np.zeros(n, wordhash.U)
     lo, hi = e[:-1], s[1:]
@@ -57,42 +84,50 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     steps = wordhash.powers(wordhash._R, n)
     total = np.zeros(n + 1, wordhash.U)
     np.cumsum((h + gap * wordhash._STEPS[0]) * steps, out=total[1:])
-    v = (total[GRAM:] - total[:m]) * wordhash.powers(wordhash._RI, n)[:m] - gap[:m] * wordhash._STEPS[0]
+    line = wordhash.mix((total[last + 1] - total[first]) * wordhash.powers(wordhash._RI, n)[first] - gap[first] * wordhash._STEPS[0])
+    m = len(first) - LINES + 1
+    if m <= 0:
+        return none
+    v = line[:m].copy()
+    for k in range(1, LINES):
+        v += line[k : k + m] * wordhash._STEPS[k] + gap[first[k : k + m]] * wordhash._STEPS[k + 1]
     v = wordhash.mix(v)
     top = wordhash.U((1 << 64) - 1)
-    whole = doc[:m] == doc[GRAM - 1 :]
+    whole = of[:m] == of[LINES - 1 :]
     v[~whole] = top
-    first = np.searchsorted(doc, np.arange(len(texts)))
-    runs = ends - first - GRAM + 1
+    head = np.searchsorted(of, np.arange(len(texts)))
+    runs = np.searchsorted(of, np.arange(len(texts)), "right") - head - LINES + 1
     best = np.zeros(m, wordhash.U)
-    if m >= SPAN:  # of each run, the largest of the minima of the spans that hold it and lie inside a text
+    if m >= SPAN:  # of each rolling hash, the largest of the minima of the spans that hold it and lie inside a text
         least = _slide(np.minimum, v, SPAN)
-        least[doc[: len(least)] != doc[SPAN + GRAM - 2 :]] = 0
+        least[of[: len(least)] != of[SPAN + LINES - 2 :]] = 0
         rim = np.zeros(SPAN - 1, wordhash.U)
         best = _slide(np.maximum, np.concatenate((rim, least, rim)), SPAN)
     # a text shorter than a span is one
     few = np.flatnonzero((runs > 0) & (runs < SPAN))
     if len(few):
-        own = np.minimum.reduceat(np.append(v, top), np.stack((first[few], first[few] + runs[few]), 1).ravel())[::2]
+        own = np.minimum.reduceat(np.append(v, top), np.stack((head[few], head[few] + runs[few]), 1).ravel())[::2]
         smallest = np.zeros(len(texts), wordhash.U)
         smallest[few] = own
-        best = np.maximum(best, smallest[doc[:m]])
+        best = np.maximum(best, smallest[of[:m]])
     at = np.flatnonzero((best == v) & whole)
-    # of equal runs that follow each other closely, as in periods, one in half a span stays
-    new = np.concatenate(([True], (v[at][1:] != v[at][:-1]) | (doc[at][1:] != doc[at][:-1])))
+    # of equal hashes that follow each other closely, as in periods, one in half a span stays
+    new = np.concatenate(([True], (v[at][1:] != v[at][:-1]) | (of[at][1:] != of[at][:-1])))
     step = (at - at[np.flatnonzero(new)][np.cumsum(new) - 1]) // (SPAN // 2) if len(at) else at
     at = at[new | np.concatenate(([True], step[1:] != step[:-1]))[: len(at)]]
-    of = doc[at]
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1][of]
-    a, b = np.maximum(at - SPAN + 1, first[of]), np.minimum(at + GRAM + SPAN - 1, ends[of]) - 1
-    return of, v[at].astype(np.int64), s[at] - begins, s[a] - begins, e[b] - begins
+    where = of[at]
+    zero = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1][where]
+    w, z = first[at], last[at + LINES - 1]
+    a = np.maximum(w - REACH, np.searchsorted(doc, where))
+    b = np.minimum(z + REACH, np.searchsorted(doc, where, "right") - 1)
+    return where, v[at].astype(np.int64), s[w] - zero, e[z] - zero, s[a] - zero, e[b] - zero
 
 
 def _keys(batches):
     for batch in batches:
         ids = np.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
         for at, held in wordhash.batches(wordhash.encoded(batch.column(1))):
-            where, key, *_ = anchors(held)
+            where, key, *_ = boundaries(held)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at:][where] if len(where) else np.zeros(0, np.int64))], ["h", "keep"])
 
 
@@ -103,16 +138,21 @@ def _occurrences(marks, bits: int):
             ids = [_NO_ID if x is None else x for x in batch.column(0).to_pylist()]
             th, texts = batch.column(1).to_pylist(), wordhash.encoded(batch.column(2))
             for at, held in wordhash.batches(texts):
-                where, key, mid, a, b = anchors(held)
-                out: list[list] = [[] for _ in range(7)]
+                where, key, mid, end, a, b = boundaries(held)
+                out: list[list] = [[] for _ in range(8)]
                 met: set = set()
-                for i in np.flatnonzero(passes(seen, bits, key)).tolist():
-                    w, k, p = int(where[i]), int(key[i]), int(mid[i])
-                    for column, x in zip(out, (k, ids[at + w], th[at + w], p, held[w][a[i] : p], held[w][p : b[i]], (w, k) not in met), strict=True):
-                        column.append(x)
+                hit = np.flatnonzero(passes(seen, bits, key))
+                where, key, mid, end, a, b = (x[hit] for x in (where, key, mid, end, a, b))
+                # beyond the next boundary that may be repeated, that one's own match goes on
+                near = where[1:] == where[:-1]
+                a[1:] = np.where(near, np.maximum(a[1:], mid[:-1]), a[1:])
+                b[:-1] = np.where(near, np.minimum(b[:-1], end[1:]), b[:-1])
+                for w, k, p, q, x, y in zip(*(v.tolist() for v in (where, key, mid, end, a, b)), strict=True):
+                    for column, value in zip(out, (k, ids[at + w], th[at + w], p, q - p, held[w][x:p], held[w][p:y], (w, k) not in met), strict=True):
+                        column.append(value)
                     met.add((w, k))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "id", "th", "place", "before", "bytes", "first"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "id", "th", "place", "size", "before", "bytes", "first"])
 
     return run
 
@@ -130,15 +170,15 @@ def reach(a: bytes, b: bytes, most: int | None = None) -> int:
 
 
 def _matches(batches):
-    """Begin and end, in bytes of the text, of what is equal around an anchor and its first occurrence."""
+    """Begin and end, in bytes of the text, of what is equal around a boundary and its first occurrence."""
     for batch in batches:
-        names = ["id", "th", "place", "before", "bytes", "_same", "_place", "_before", "_bytes"]
+        names = ["id", "th", "place", "size", "before", "bytes", "_same", "_place", "_before", "_bytes"]
         out: list[list] = [[] for _ in range(4)]
-        for doc, th, place, before, here, same, place0, before0, here0 in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in names), strict=True):
+        for doc, th, place, size, before, here, same, place0, before0, here0 in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in names), strict=True):
             most = place - place0 if same else None
             right = reach(here, here0, most)
-            if len(here[:right].split()) < GRAM:
-                continue  # other words of the same hash, or a run that overlaps itself
+            if right < size:
+                continue  # other lines of the same hash, or lines that overlap their origin
             left = reach(before[::-1], before0[::-1], None if most is None else most - right)
             for column, x in zip(out, (doc, th, place - left, place + right), strict=True):
                 column.append(x)
@@ -182,16 +222,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     pairs = docs.select("doc_id", "text").mapInArrow(_keys, "h long, keep long")
     again = materialize(pairs.groupBy("h").agg(F.count("*").alias("n"), F.min("keep").alias("keep")).filter("n > 1").select("h", "keep"), "repeated")
     marks, bits = key_filter(again.select("h"), again.count())
-    found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_occurrences(marks, bits), "h long, id long, th long, place int, before binary, bytes binary, first boolean")
+    found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_occurrences(marks, bits), "h long, id long, th long, place int, size int, before binary, bytes binary, first boolean")
     found = materialize(found.join(again, "h"), "occurrences")
     keeps = (F.col("id") == F.col("keep")) & F.col("first")
     origin = found.filter(keeps).groupBy("h").agg(F.min(F.struct("place", "th", "id", "before", "bytes")).alias("o"))
     same = (F.col("id") == F.col("o.id")) & (F.col("th") == F.col("o.th"))
-    pairs = found.filter(~keeps).join(origin, "h").select("id", "th", "place", "before", "bytes", same.alias("_same"), F.col("o.place").alias("_place"), F.col("o.before").alias("_before"), F.col("o.bytes").alias("_bytes"))
+    pairs = found.filter(~keeps).join(origin, "h").select("id", "th", "place", "size", "before", "bytes", same.alias("_same"), F.col("o.place").alias("_place"), F.col("o.before").alias("_before"), F.col("o.bytes").alias("_bytes"))
     return pairs.mapInArrow(_matches, "id long, th long, a int, b int")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 12) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` with repeated passages cut from ``text``, and ``removed_words``."""
     ship(docs.sparkSession)
     gone = repeated_passages(docs.select("doc_id", "text")).groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
