@@ -35,6 +35,8 @@ from evidentia.llm.common import key_filter, materialize, passes, ship
 LONG, LINES, SPAN, REACH = 6, 2, 6, 48
 #: Fewer repeated words in a row stay: headings and short sign-offs repeat by chance.
 MIN_WORDS = 8
+#: Occurrences of one hash that are compared in one cell, on average.
+PER_CELL = 2_000
 _NO_ID = (1 << 63) - 1
 _GAP, _TORN = re.compile(rb"[ \t-\r]*"), re.compile(rb"[^ \t-\r]*\Z")
 
@@ -220,14 +222,18 @@ def _without(min_words: int):
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``id, th, a, b``: bytes from a to b of the text that stand somewhere earlier too."""
     pairs = docs.select("doc_id", "text").mapInArrow(_keys, "h long, keep long")
-    again = materialize(pairs.groupBy("h").agg(F.count("*").alias("n"), F.min("keep").alias("keep")).filter("n > 1").select("h", "keep"), "repeated")
+    again = pairs.groupBy("h").agg(F.count("*").alias("n"), F.min("keep").alias("keep")).filter("n > 1")
+    again = materialize(again.select("h", "keep", F.ceil(F.col("n") / PER_CELL).alias("cells")), "repeated")
     marks, bits = key_filter(again.select("h"), again.count())
     found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_occurrences(marks, bits), "h long, id long, th long, place int, size int, before binary, bytes binary, first boolean")
     found = materialize(found.join(again, "h"), "occurrences")
     keeps = (F.col("id") == F.col("keep")) & F.col("first")
-    origin = found.filter(keeps).groupBy("h").agg(F.min(F.struct("place", "th", "id", "before", "bytes")).alias("o"))
+    origin = found.filter(keeps).groupBy("h").agg(F.min(F.struct("place", "th", "id", "before", "bytes")).alias("o"), F.first("cells").alias("cells"))
+    # the occurrences of very common lines are split, and meet copies of their origin
+    origin = origin.select("h", "o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
     same = (F.col("id") == F.col("o.id")) & (F.col("th") == F.col("o.th"))
-    pairs = found.filter(~keeps).join(origin, "h").select("id", "th", "place", "size", "before", "bytes", same.alias("_same"), F.col("o.place").alias("_place"), F.col("o.before").alias("_before"), F.col("o.bytes").alias("_bytes"))
+    others = found.filter(~keeps).withColumn("cell", F.pmod(F.xxhash64("id", "th", "place"), F.col("cells"))).drop("cells")
+    pairs = others.join(origin, ["h", "cell"]).select("id", "th", "place", "size", "before", "bytes", same.alias("_same"), F.col("o.place").alias("_place"), F.col("o.before").alias("_before"), F.col("o.bytes").alias("_bytes"))
     return pairs.mapInArrow(_matches, "id long, th long, a int, b int")
 
 
