@@ -50,3 +50,28 @@ def evaluate(rows: DataFrame, label: str, score: str, key: str, seed: int = 1) -
     some = rows.crossJoin(F.broadcast(n)).filter((F.col(label) == 1) | (hash_unit(F.col(key), F.lit(seed)) * F.col("_n") < F.col("_p")))  # one row
     hit = some.agg(F.avg(F.when(F.col(label) == 1, (F.col(score) >= 0.5).cast("double"))).alias("accuracy_pos"), F.avg(F.when(F.col(label) == 0, (F.col(score) < 0.5).cast("double"))).alias("accuracy_neg"))
     return rank_sum_auc(some, score, label).crossJoin(hit)  # one row each
+
+
+def save(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def collate(frames: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Metrics of several models as one table, each tagged by its model."""
+    out = None
+    for name, df in frames:
+        df = df.withColumn("model", F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def log_odds_fit(rows: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """``term, estimate`` of a binomial generalised linear model. It has no random effects, so it does not stand for a mixed
+    model: resample nodes (stats.node_bootstrap) for intervals."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.select(F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in features]))
+    model = GeneralizedLinearRegression(family="binomial", labelCol="_y", featuresCol="_x", maxIter=50, tol=1e-10).fit(data)
+    found = [("intercept", float(model.intercept)), *[(c, float(x)) for c, x in zip(features, model.coefficients, strict=True)]]
+    return rows.sparkSession.createDataFrame(found, "term string, estimate double")

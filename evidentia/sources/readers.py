@@ -51,6 +51,16 @@ def id_mapping(spark: SparkSession, path, kinds: list[str], wanted: DataFrame |
     return df.join(wanted.select("id").distinct(), "id", "left_semi") if wanted is not None else df
 
 
+def id_lookup(spark: SparkSession, path, wanted: DataFrame | None = None) -> DataFrame:
+    """``id, gene_id, gene_name`` of a three-column mapping: the last GeneID and the first Gene_Name of an id, in the
+    order of lines; lines of another width are left out."""
+    p = F.split("value", "\t")
+    rows = numbered_lines(spark, path, "line").filter(F.size(p) == 3).select("line", p[0].alias("id"), p[1].alias("kind"), p[2].alias("value"))
+    rows = rows.join(wanted.select("id").distinct(), "id", "left_semi") if wanted is not None else rows
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    return rows.groupBy("id").agg(F.max_by(of("GeneID", "value"), of("GeneID", "line")).alias("gene_id"), F.min_by(of("Gene_Name", "value"), of("Gene_Name", "line")).alias("gene_name"))
+
+
 def gene_synonyms(spark: SparkSession, path) -> DataFrame:
     """``name, gene_id``: symbols, and synonyms split at bars; a symbol beats a synonym, then the smaller id."""
     from pyspark.sql import Window as W
@@ -61,7 +71,8 @@ def gene_synonyms(spark: SparkSession, path) -> DataFrame:
     return names.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(F.col("n.name").alias("name"), "gene_id")
 
 
-ACCESSION = r"^[A-Z][A-Z0-9]{5,9}$"
+#: Fixed value: the grammar of accessions.
+ACCESSION = r"^[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2}$|^[OPQ][0-9][A-Z0-9]{3}[0-9]$"
 
 
 def secondary_accessions(spark: SparkSession, path) -> DataFrame:
@@ -106,8 +117,18 @@ def listed(df: DataFrame, column: str, sep: str = ";", keep: Column | None = Non
 
 
 def numbered_lines(spark: SparkSession, path, out: str = "node_id") -> DataFrame:
-    """Lines with their number from 1, for files whose line number is an id."""
-    return spark.createDataFrame(spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0])), f"{out} long, value string")
+    """Lines with their number from 1, for files whose line number is an id; several files follow each other by path.
+
+    Numbers run within the blocks that a scan reads, and a row per block carries the rest.
+    """
+    from pyspark.sql import Window as W
+
+    at = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m")]
+    lines = spark.read.text(path).select("value", *at)
+    blocks = lines.groupBy("_f", "_s").agg(F.min("_m").alias("_least"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_f", "_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("_f").alias("_g"), F.col("_s").alias("_t"), (before - F.col("_least") + 1).alias("_shift"))
+    return lines.join(blocks, (F.col("_f") == F.col("_g")) & (F.col("_s") == F.col("_t"))).select((F.col("_m") + F.col("_shift")).alias(out), "value")
 
 
 def key_values(spark: SparkSession, path, pattern: str = r"([^/]+)\.[a-z]+$") -> DataFrame:
@@ -129,3 +150,55 @@ def tagged(spark: SparkSession, paths, schema, pattern: str, tag: str = "dataset
 
 def json_lines(spark: SparkSession, path, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def displayed_isoforms(spark: SparkSession, path) -> DataFrame:
+    """``id, isoform``: the displayed isoform of each entry of a saved service answer, one JSON entry a line."""
+    entry = "primaryAccession string, comments array<struct<commentType: string, isoforms: array<struct<isoformIds: array<string>, isoformSequenceStatus: string>>>>"
+    products = F.filter("comments", lambda c: c["commentType"] == "ALTERNATIVE PRODUCTS")
+    shown = F.filter(F.get(products, F.lit(0))["isoforms"], lambda i: i["isoformSequenceStatus"] == "Displayed")
+    return spark.read.schema(entry).json(path).select(F.col("primaryAccession").alias("id"), F.get(F.get(shown, F.lit(0))["isoformIds"], F.lit(0)).alias("isoform")).dropna()
+
+
+def disorder(spark: SparkSession, path) -> DataFrame:
+    """``id, disorder_fraction`` of a saved service answer, one JSON entry a line; entries without a value are left out."""
+    entry = "acc string, `prediction-disorder-mobidb_lite` struct<content_fraction: double>"
+    return spark.read.schema(entry).json(path).select(F.col("acc").alias("id"), F.col("`prediction-disorder-mobidb_lite`.content_fraction").alias("disorder_fraction")).dropna()
+
+
+ANNOTATION = {"Entry": "uniprot_id", "Length": "length", "Transmembrane": "ft_transmem", "Subcellular location [CC]": "cc_subcellular_location", "EC number": "ec", "Signal peptide": "ft_signal", "Catalytic activity": "cc_catalytic_activity", "Region": "ft_region", "PubMed ID": "lit_pubmed_id"}
+
+
+def annotation_dump(spark: SparkSession, path) -> DataFrame:
+    """A saved annotation table under the names that the operators use."""
+    return tsv(spark, path, list(ANNOTATION)).withColumnsRenamed(ANNOTATION).withColumn("length", F.col("length").try_cast("int"))
+
+
+def similarity_hits(spark: SparkSession, path) -> DataFrame:
+    """All-against-all hits ``line, qgene, sgene, evalue, bitscore``; the target is the first word of its title."""
+    p = F.split("value", "\t")
+    return numbered_lines(spark, path, "line").filter(F.size(p) >= 4).select("line", p[0].alias("qgene"), F.substring_index(p[1], " ", 1).alias("sgene"), p[2].try_cast("double").alias("evalue"), p[3].try_cast("double").alias("bitscore"))
+
+
+def curated_studies(spark: SparkSession, path) -> DataFrame:
+    """``study, cvcl`` of a curated table; blank cells are unknown and go."""
+    return tsv(spark, path, ["pubmed_id", "size", "cl_id", "Comment", "Intact?"]).select(F.col("pubmed_id").alias("study"), F.nullif(F.trim("cl_id"), F.lit("")).alias("cvcl")).dropna()
+
+
+def npy_matrix(spark: SparkSession, path) -> DataFrame:
+    """``i, j, r`` of the cells of a saved square matrix (.npy), NaN cells left out. The file is one row and one task: save a
+    large one as Parquet cells in the first place."""
+    import numpy as np
+    import pandas as pd
+
+    def cells(frames):
+        import io
+
+        for f in frames:
+            for raw in f["content"]:
+                m = np.load(io.BytesIO(raw), allow_pickle=False)
+                for i in range(len(m)):
+                    j = np.flatnonzero(~np.isnan(m[i]))
+                    yield pd.DataFrame({"i": np.full(len(j), i), "j": j, "r": m[i][j].astype(float)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, "i long, j long, r double")

@@ -27,6 +27,7 @@ def metis(edges: DataFrame, path: str, a: str = "a", b: str = "b", weight: str =
     lines = both.groupBy("v").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("w", weight))), lambda x: F.concat_ws(" ", x["w"].cast("string"), x[weight].cast("string"))), " ").alias("line"))
     alls = df_range(edges, n).join(lines, "v", "left").select("v", F.coalesce("line", F.lit("")).alias("line"))
     head = edges.sparkSession.createDataFrame([(0, f"{n} {m} 1")], "v long, line string")
+    # the part files, in the order of their names, make one document
     alls.unionByName(head).repartitionByRange("v").sortWithinPartitions("v").select("line").write.mode("overwrite").text(path)
     return n
 
@@ -36,10 +37,23 @@ def df_range(like: DataFrame, n: int) -> DataFrame:
 
 
 def graphml(edges: DataFrame, path: str, a: str = "a", b: str = "b") -> None:
-    """Node and edge elements, one a line; wrap the parts with a graph element to read them as one file."""
-    nodes = edges.select(F.explode(F.array(a, b)).alias("v")).distinct().select(F.format_string('<node id="%s"/>', F.col("v").cast("string")).alias("line"))
-    lines = edges.select(F.format_string('<edge source="%s" target="%s"/>', F.col(a).cast("string"), F.col(b).cast("string")).alias("line"))
-    nodes.unionByName(lines).write.mode("overwrite").text(path)
+    """One document over the part files in their order: a head, node and edge elements a line each, and the end."""
+    spark = edges.sparkSession
+    nodes = edges.select(F.explode(F.array(a, b)).alias("v")).distinct().select(F.lit(1).alias("o"), F.format_string('<node id="%s"/>', F.col("v").cast("string")).alias("line"))
+    lines = edges.select(F.lit(2).alias("o"), F.format_string('<edge source="%s" target="%s"/>', F.col(a).cast("string"), F.col(b).cast("string")).alias("line"))
+    ends = spark.createDataFrame([(0, '<graphml><graph edgedefault="undirected">'), (3, "</graph></graphml>")], "o int, line string")
+    ends.unionByName(nodes).unionByName(lines).repartitionByRange("o", "line").sortWithinPartitions("o", "line").select("line").write.mode("overwrite").text(path)
+
+
+def matrix(cells: DataFrame, index: DataFrame, path: str, **about) -> None:
+    """A matrix as Parquet cells, its index as a table, and ``key, value`` of what it is."""
+    parquet(cells, f"{path}/cells")
+    tsv(index, f"{path}/index")
+    tsv(cells.sparkSession.createDataFrame([(k, str(v)) for k, v in about.items()], "key string, value string").coalesce(1), f"{path}/about")
+
+
+def text(df: DataFrame, path: str, line: str = "line") -> None:
+    df.select(line).write.mode("overwrite").text(path)
 
 
 def report(df: DataFrame, path: str) -> None:
