@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def tsv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.mode("overwrite").option("sep", "\t").option("header", header).option("quote", "").csv(path)
+    df.write.mode("overwrite").option("sep", "\t").option("header", header).option("quote", "").option("emptyValue", "").csv(path)
 
 
 def parquet(df: DataFrame, path: str, by: list[str] = ()) -> None:
