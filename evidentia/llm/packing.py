@@ -58,6 +58,22 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
+def _packed_ids(piece: np.ndarray) -> bytes:
+    """Two bytes an id, or four where some id needs them."""
+    return piece.astype("<u2" if not len(piece) or piece.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked_ids(batches):
+    for batch in batches:
+        names = batch.schema.names
+        raw, sizes = batch.column(names.index("ids")).to_pylist(), batch.column(names.index("length")).to_numpy()
+        ids = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.int32) for x, n in zip(raw, sizes, strict=True)]
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        columns = [batch.column(i) for i, c in enumerate(names) if c != "ids"]
+        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*(c for c in names if c != "ids"), "ids"])
+
+
 def _tokenize(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches):
         encode, salt = encoder(path), 0
@@ -67,9 +83,9 @@ def _tokenize(path: str, capacity: int, end: int, with_ids: bool):
                 ids = np.append(encode(text or ""), np.uint32(end)).astype("<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
                     piece, salt = ids[start : start + n], salt + 1
-                    for column, x in zip(out, (doc, k, start, n, zlib.crc32(piece.tobytes()), salt, piece.astype(np.int32) if with_ids else None), strict=True):
+                    for column, x in zip(out, (doc, k, start, n, zlib.crc32(piece.tobytes()), salt, _packed_ids(piece) if with_ids else None), strict=True):
                         column.append(x)
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"]
             n = 7 if with_ids else 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], kinds[:n], strict=True)], names[:n])
@@ -78,10 +94,10 @@ def _tokenize(path: str, capacity: int, end: int, with_ids: bool):
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, with_ids: bool = True, text: str = "text") -> DataFrame:
-    """Pieces of all documents: ``doc_id, piece, start, length, ids_crc32, salt`` and, if asked for, ``ids``."""
+    """Pieces of all documents: ``doc_id, piece, start, length, ids_crc32, salt`` and, if asked for, ``ids`` as bytes."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt long" + ", ids binary" * with_ids
     return docs.select("doc_id", text).mapInArrow(_tokenize(path, capacity, end, with_ids), schema)
 
 
@@ -207,7 +223,12 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 102
         path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pieces = materialize(tokenize(docs, path, capacity, end, with_ids).withColumn("pid", F.monotonically_increasing_id()), "pieces")
     packed = pack(pieces.drop("ids"), capacity)
-    return (packed.join(pieces.select("pid", "ids").hint("merge"), "pid") if with_ids else packed).drop("pid")
+    if not with_ids:
+        return packed.drop("pid")
+    # the tokens come last, so no step before moves them
+    both = packed.join(pieces.select("pid", "ids").hint("merge"), "pid").drop("pid")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name != "ids")
+    return both.mapInArrow(_unpacked_ids, f"{schema}, ids array<int>")
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

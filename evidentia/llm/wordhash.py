@@ -72,7 +72,7 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
 
 
 #: Words whose hash a worker remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 16
 _LOWER_BYTES = LOWER.tobytes()
 
 
