@@ -92,7 +92,7 @@ def fasta(spark: SparkSession, path, id_pattern: str = r"^[^|]*\|([^|]+)\|") ->
 def fasta_ids(spark: SparkSession, path) -> DataFrame:
     """Distinct ids of header lines, without the sequences."""
     lines = spark.read.text(path).filter(F.col("value").startswith(">"))
-    return lines.select(F.split("value", r"\|")[1].alias("id")).dropna().distinct()
+    return lines.select(F.get(F.split("value", r"\|"), F.lit(1)).alias("id")).dropna().distinct()
 
 
 def records(spark: SparkSession, path, codes: list[str], end: str = "//\n", join: str = "<->") -> DataFrame:
