@@ -65,12 +65,36 @@ def complement_edges(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFr
     return ordered_pairs(nodes, "v", a, b).join(known, [a, b], "left_anti")
 
 
+def _exchanges(met: DataFrame, known: DataFrame, chosen: DataFrame, hashed) -> DataFrame:
+    """Stubs ``x, y`` that cannot be joined, each with a chosen pair ``old`` to give up for ``first`` and ``second``.
+
+    Every chosen pair is offered to one pair of stubs by its hash, and of those that make two new pairs the smallest
+    hash is taken. No new pair is an edge, a loop, chosen already or made twice.
+    """
+    n = met.count()
+    if not n:
+        return chosen.select("x", "y", *[F.struct("x", "y").alias(c) for c in ("old", "first", "second")]).limit(0)
+    stubs = running(met.select("p", F.col("x").alias("u"), F.col("y").alias("v")), [], [F.asc("p")], {"q": ("sum", F.lit(1).cast("long"))})
+    offers = chosen.select(F.struct("x", "y").alias("old"), hashed.alias("h"), (F.pmod(hashed, F.lit(n)) + 1).alias("q"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+    made = offers.join(stubs, "q").withColumn("first", pair("u", "old.x")).withColumn("second", pair("v", "old.y"))
+    made = made.filter("first.x <> first.y and second.x <> second.y and first <> second")
+    for c in ("first", "second"):
+        taken = known.unionByName(chosen).select(F.struct("x", "y").alias(c))
+        made = made.join(taken, c, "left_anti")
+    best = materialize(made.groupBy("q").agg(F.min(F.struct("h", "u", "v", "old", "first", "second")).alias("b")).select("q", "b.*"), "offers")
+    new = best.select("q", F.explode(F.array("first", "second")).alias("e"))
+    late = new.join(new.groupBy("e").agg(F.min("q").alias("owner")), "e").filter("q <> owner").select("q").distinct()
+    return best.join(late, "q", "left_anti").select(F.col("u").alias("x"), F.col("v").alias("y"), "old", "first", "second")
+
+
 def random_negatives(edges: DataFrame, a: str = "src", b: str = "dst", seed: int = 1) -> DataFrame:
     """Undirected pairs without an edge, in which no node exceeds its degree in ``edges``, and nearly all reach it.
 
     Every node puts as many stubs as it lacks edges into a hashed order and neighbours are paired; pairs that are edges,
-    loops or repeats fall apart again. Rounds go on until nothing is lacking or three add nothing. So the complement
-    is never made; a maximum flow over it could still place the few stubs that are left.
+    loops or repeats fall apart again. Where none holds, chosen pairs are exchanged for two new ones each. Rounds go on
+    until nothing is lacking or three add nothing. So the complement is never made; a maximum flow over it could still
+    place the few stubs that are left.
     """
     known = materialize(edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).filter("x <> y").distinct(), "known")
     left = materialize(known.select(F.explode(F.array("x", "y")).alias("v")).groupBy("v").agg(F.count("*").alias("d")), "lacking")
@@ -81,14 +105,19 @@ def random_negatives(edges: DataFrame, a: str = "src", b: str = "dst", seed: int
         order = running(stubs.select("v", F.xxhash64("v", "k", F.lit(seed), F.lit(at)).alias("u")), [], [F.asc("u"), F.asc("v")], {"n": ("sum", F.lit(1).cast("long"))})
         met = order.groupBy(F.shiftright(F.col("n") - 1, 1).alias("p")).agg(F.min("v").alias("x"), F.max("v").alias("y"), F.count("*").alias("c"))
         new = met.filter("c = 2 and x <> y").select("x", "y").distinct().join(known, ["x", "y"], "left_anti")
-        new = materialize(new.join(chosen, ["x", "y"], "left_anti"), "pairs")
-        if not new.head(1):
-            idle += 1
-            continue
+        met, new = met.filter("c = 2"), materialize(new.join(chosen, ["x", "y"], "left_anti"), "pairs")
+        if new.head(1):
+            placed, chosen = new, materialize(chosen.unionByName(new), "chosen")
+        else:
+            placed = materialize(_exchanges(met, known, chosen, F.xxhash64("x", "y", F.lit(seed), F.lit(at))), "exchanges")
+            if not placed.head(1):
+                idle += 1
+                continue
+            pairs = lambda *names: placed.select(F.explode(F.array(*names)).alias("e")).select("e.*")
+            chosen = materialize(chosen.join(pairs("old"), ["x", "y"], "left_anti").unionByName(pairs("first", "second")), "chosen")
         idle = 0
-        used = new.select(F.explode(F.array("x", "y")).alias("v")).groupBy("v").agg(F.count("*").alias("m"))
+        used = placed.select(F.explode(F.array("x", "y")).alias("v")).groupBy("v").agg(F.count("*").alias("m"))
         left = materialize(left.join(used, "v", "left").select("v", (F.col("d") - F.coalesce("m", F.lit(0))).alias("d")).filter("d > 0"), "lacking")
-        chosen = materialize(chosen.unionByName(new), "chosen")
     return chosen.select(F.col("x").alias(a), F.col("y").alias(b))
 
 

@@ -72,7 +72,8 @@ def cell_calls(spark, sf):
 def cell_prey_prior(spark, sf):
     """Hierarchical rates of preys with enough tests in a cell line and some elsewhere, and their distance to the pooled rate."""
     c = E.cell_prey_prior(materialize(cell_pairs(spark, sf), "cells")).filter("n_tested > 4 and n_tested <> total_tested")
-    return c.withColumn("delta_p", r6(F.col("prey_p") - F.col("total_observed") / F.col("total_tested"))).withColumn("prey_p", r6("prey_p"))
+    away = F.col("prey_p") - F.col("total_observed") / F.col("total_tested")
+    return c.withColumn("delta_p", F.rint(away * 1e6) / 1e6).withColumn("prey_p", r6("prey_p"))  # a small negative distance stays -0.0
 
 
 FOUR = CELL + """, c AS (SELECT prey, cvcl, sum(n_observed)::BIGINT AS a, sum(n_tested - n_observed)::BIGINT AS b FROM cell GROUP BY ALL), s AS (SELECT *, (sum(a) OVER (PARTITION BY prey))::BIGINT - a AS c, (sum(b) OVER (PARTITION BY prey))::BIGINT - b AS d FROM c)"""
