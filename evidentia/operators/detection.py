@@ -10,19 +10,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.operators.masks import grid_join
-from evidentia.scratch import ship
+from evidentia.scratch import materialize, ship
 
 
 def bait_tests(ev: DataFrame, genes: DataFrame, gene: str = "gene", cell: str = "cvcl", study: list[str] = ("study", "method"), min_tested: int = 3) -> DataFrame:
     """``bait, prey, n_observed, n_tested, cell`` for every detectable gene and every cell line of a bait with more than
     ``min_tested`` studies in all: studies that saw the pair there, or 0, of the bait's studies there."""
+    tests, rows = _baits(ev, cell, study, min_tested)
+    tests = tests.withColumn("_one", F.lit(0))
+    every = grid_join(tests, genes.select(F.col(gene).alias("prey")).distinct().withColumn("_one", F.lit(0)), ["_one"], "bait", "prey").drop("_one")
+    seen = rows.groupBy("bait", "prey", cell).agg(F.count_distinct("_s").alias("n_observed"))
+    return every.join(seen, ["bait", "prey", cell], "left").fillna(0, ["n_observed"]).select("bait", "prey", "n_observed", "n_tested", cell)
+
+
+def _baits(ev: DataFrame, cell: str, study: list[str], min_tested: int) -> tuple[DataFrame, DataFrame]:
     rows = ev.filter("bait <> prey").select("bait", "prey", cell, F.concat_ws("-", *study).alias("_s")).distinct()
     tests = rows.groupBy("bait", cell).agg(F.count_distinct("_s").alias("n_tested"))
     keep = tests.groupBy("bait").agg(F.sum("n_tested").alias("_n")).filter(F.col("_n") > min_tested).select("bait")
-    tests = tests.join(keep, "bait", "left_semi").withColumn("_one", F.lit(0))
-    every = grid_join(tests, genes.select(F.col(gene).alias("prey")).distinct().withColumn("_one", F.lit(0)), ["_one"], "bait", "prey").drop("_one")
+    return tests.join(keep, "bait", "left_semi"), rows
+
+
+def grid_parts(ev: DataFrame, genes: DataFrame, gene: str = "gene", cell: str = "cvcl", study: list[str] = ("study", "method"), min_tested: int = 3) -> tuple[DataFrame, DataFrame]:
+    """What bait_tests multiplies out: ``bait, cell, n_tested``, each of which stands for every gene, and the observed part of
+    the grid, ``bait, prey, cell, n_observed, n_tested``."""
+    tests, rows = _baits(materialize(ev, "evidence"), cell, study, min_tested)
+    tests = materialize(tests, "baits")
     seen = rows.groupBy("bait", "prey", cell).agg(F.count_distinct("_s").alias("n_observed"))
-    return every.join(seen, ["bait", "prey", cell], "left").fillna(0, ["n_observed"]).select("bait", "prey", "n_observed", "n_tested", cell)
+    return tests, seen.join(genes.select(F.col(gene).alias("prey")).distinct(), "prey", "left_semi").join(tests, ["bait", cell])
 
 
 def wide_tests(tests: DataFrame, cells: list[str], cell: str = "cvcl") -> DataFrame:

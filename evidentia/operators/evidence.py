@@ -133,9 +133,11 @@ def posterior(pairs: DataFrame, pseudo_n: float = 1.0, prior_keys: list[str] = (
     return out.withColumn("p", F.col("alpha_post") / (pseudo_n + F.col("n_tested"))).drop("_a0")
 
 
-def mean_ratio_prior(pairs: DataFrame, min_tested: int = 1, pseudo_n: float = 1.0) -> DataFrame:
-    """One row ``prior_alpha, prior_beta``: the mean of pair rates over pairs tested more than ``min_tested`` times."""
-    few = pairs.filter(F.col("n_tested") > min_tested).agg((F.avg(F.col("n_observed") / F.col("n_tested")) * pseudo_n).alias("prior_alpha"))
+def mean_ratio_prior(pairs: DataFrame, min_tested: int = 1, pseudo_n: float = 1.0, count: str | None = None) -> DataFrame:
+    """One row ``prior_alpha, prior_beta``: the mean of pair rates over pairs tested more than ``min_tested`` times.
+    A row stands for as many pairs as its ``count`` says."""
+    n = F.col(count) if count else F.lit(1)
+    few = pairs.filter(F.col("n_tested") > min_tested).agg((F.try_divide(F.sum(F.col("n_observed") / F.col("n_tested") * n), F.sum(n)) * pseudo_n).alias("prior_alpha"))
     return few.withColumn("prior_beta", pseudo_n - F.col("prior_alpha"))
 
 
@@ -217,9 +219,17 @@ def hub_status(df: DataFrame, positive: str = "pos_bin", negative: str = "neg_bi
 def shared_members(ev: DataFrame, key: str, member: str, zeros: bool = True) -> DataFrame:
     """Members that two keys share, for pairs of keys in order; with ``zeros`` for all of them, as many as there are."""
     rows = materialize(ev.select(key, member).dropna().distinct(), "members")
-    x, y = rows.select(F.col(key).alias("x"), member), rows.select(F.col(key).alias("y"), member)
-    met, _, _ = M.common(x, y, [member], "x", "y")
-    met = met.filter("x < y").groupBy("x", "y").agg(F.sum("t").alias("n_shared"))
+    sizes = rows.groupBy(member).agg(F.count("*").alias("n"))
+    most, work = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()
+    if most <= M.CELL and rows.count() > M.MOST_BROADCAST:
+        # neighbouring members tend to have the same keys: in ranges, most of their pairs are summed before the shuffle
+        held = rows.repartitionByRange(M.tasks(rows, work // 4), member).groupBy(member).agg(F.array_sort(F.collect_list(key)).alias("_l"))
+        each = held.select("_l", F.posexplode("_l").alias("_i", "x")).select("x", F.explode(F.expr("slice(_l, _i + 2, size(_l))")).alias("y"))
+        met = each.groupBy("x", "y").agg(F.count("*").alias("n_shared"))
+    else:
+        x, y = rows.select(F.col(key).alias("x"), member), rows.select(F.col(key).alias("y"), member)
+        met, _, _ = M.common(x, y, [member], "x", "y")
+        met = met.filter("x < y").groupBy("x", "y").agg(F.sum("t").alias("n_shared"))
     if not zeros:
         return met
     return M.ordered_pairs(rows.select(key).distinct(), key, "x", "y").join(met, ["x", "y"], "left").fillna(0, ["n_shared"])
@@ -271,11 +281,17 @@ def untested_corrected_degree(pod: DataFrame, n_preys: int | Column, a: str = "b
 def bounded_degrees(pod: DataFrame, n_baits: int | Column, n_preys: int | Column, prior: dict[str, Column]) -> DataFrame:
     """Per id and role, ``degree_{k}`` for each of mean, lo and hi in ``prior``: the sum of that column over its tested
     partners and the prior's value for each partner never tested. An id without a role has that role's prior alone."""
-    ids = pod.select(F.explode(F.array("bait", "prey")).alias("id")).distinct()
-    out = ids
+    ends = pod.select(*prior, F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("id")) for r in ("bait", "prey")])).alias("e"))
+    sums = ends.select(*prior, "e.*").groupBy("role", "id").agg(F.count("*").alias("n_pairs"), *[F.sum(k).alias(k) for k in prior])
+    return degrees_with_rest(sums, n_baits, n_preys, prior)
+
+
+def degrees_with_rest(sums: DataFrame, n_baits: int | Column, n_preys: int | Column, prior: dict[str, Column]) -> DataFrame:
+    """bounded_degrees from ``role, id, n_pairs`` and the sums of the columns in ``prior``."""
+    out = sums.select("id").distinct()
     for role, n in (("bait", n_preys), ("prey", n_baits)):
-        sums = pod.groupBy(F.col(role).alias("id")).agg(F.count("*").alias("_n"), *[F.sum(k).alias(f"_{k}") for k in prior])
+        own = sums.filter(F.col("role") == role).select("id", F.col("n_pairs").alias("_n"), *[F.col(k).alias(f"_{k}") for k in prior])
         n = n if isinstance(n, Column) else F.lit(n)
         rest = F.greatest(F.lit(0), n - F.coalesce("_n", F.lit(0)))
-        out = out.join(sums, "id", "left").withColumns({f"{k}_{role}": F.coalesce(F.col(f"_{k}"), F.lit(0.0)) + rest * v for k, v in prior.items()}).drop("_n", *[f"_{k}" for k in prior])
+        out = out.join(own, "id", "left").withColumns({f"{k}_{role}": F.coalesce(F.col(f"_{k}"), F.lit(0.0)) + rest * v for k, v in prior.items()}).drop("_n", *[f"_{k}" for k in prior])
     return out

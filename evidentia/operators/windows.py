@@ -6,6 +6,8 @@ no task holds a whole distribution.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,12 +24,22 @@ def accumulation_curve(df: DataFrame, value: str, measures: list[str], tie: str
     """
     tie = [tie] if isinstance(tie, str) else list(tie)
     rows = materialize(df.filter(F.col(value).isNotNull()).select(F.col(value).alias("value"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)], *[F.col(m).alias(f"_m{i}") for i, m in enumerate(measures)]), "curve")
+    sums = [F.count("*").alias("n")]
+    for i in range(len(measures)):
+        sums += [F.sum(f"_m{i}").alias(f"s{i}"), F.count(f"_m{i}").alias(f"k{i}")]
+    ties = lambda v: rows.filter(F.col("value") == F.lit(v))
+    return accumulated(rows.groupBy("value").agg(*sums), measures, ties, len(tie), greater, min_samples)
+
+
+def accumulated(counts: DataFrame, measures: list[str], ties: Callable[[object], DataFrame], n_ties: int, greater: bool = True, min_samples: int = 200) -> DataFrame:
+    """The curve from ``value, n, s0, k0, ..``: rows, sums and measured rows of every value. ``ties`` gives the rows of one
+    value, ``_t0.., _m0..``, for the first threshold."""
     side = F.desc("value") if greater else F.asc("value")
     sums = [F.count("*").alias("n")]
     for i in range(len(measures)):
         sums += [F.sum(f"_m{i}").alias(f"s{i}"), F.count(f"_m{i}").alias(f"k{i}")]
     names = ["n", *[f"{c}{i}" for i in range(len(measures)) for c in "sk"]]
-    run = materialize(running(rows.groupBy("value").agg(*sums), [], [side], {c: ("sum", F.col(c)) for c in names}), "curve")
+    run = materialize(running(counts, [], [side], {c: ("sum", F.col(c)) for c in names}), "curve")
     shown = ["value", F.col("n").alias("n_pairs")]
     for i, m in enumerate(measures):
         shown += [F.col(f"s{i}").alias(f"sum_{m}"), F.col(f"k{i}").alias(f"non_na_pairs_{m}")]
@@ -39,7 +51,7 @@ def accumulation_curve(df: DataFrame, value: str, measures: list[str], tie: str
     cut = run.filter(F.col("n") > min_samples).orderBy("n").first()
     taken = run.filter(F.col("n") == whole["n"]).drop("value")
     if cut is not None and whole["n"] < min_samples:
-        part = rows.filter(F.col("value") == F.lit(cut["value"])).orderBy(*[f"_t{i}" for i in range(len(tie))]).limit(min_samples - whole["n"])
+        part = ties(cut["value"]).orderBy(*[f"_t{i}" for i in range(n_ties)]).limit(min_samples - whole["n"])
         taken = taken.unionByName(part.agg(*sums))
     taken = taken.agg(*[F.sum(c).alias(c) for c in names]).withColumn("value", F.lit(first["value"]))
     rest = run.filter(F.col("n") > min_samples)
