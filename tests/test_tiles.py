@@ -13,7 +13,7 @@ from evidentia.operators import tiles as T
 from evidentia.plans import analyses, catalog, exchange  # noqa: F401  they register their queries
 
 SF = "/root/testdata/sf0.001"
-COUNTED = "weight_distribution bound_histogram bin_crosstab bin_max average_rank wasserstein_degree bounded_degrees accumulation_curve accumulation_means class_rates flagged_contingency".split()
+COUNTED = "weight_distribution bound_histogram bin_crosstab bin_max average_rank wasserstein_degree bounded_degrees accumulation_curve accumulation_means class_rates cell_calls flagged_contingency".split()
 
 
 @pytest.fixture(scope="module")
