@@ -64,3 +64,11 @@ def test_make_no_grid(spark, monkeypatch, name):
 
     monkeypatch.setattr(D, "grid_join", made)
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_bounds_are_made_of_counts(spark, monkeypatch):
+    """Not of pairs, which would be written several times."""
+    seen, bounds = [], special.with_bounds
+    monkeypatch.setattr(special, "with_bounds", lambda df, by, **k: seen.append(df.columns) or bounds(df, by, **k))
+    assert catalog.QUERIES["cell_bounds_mass"](spark, SF).count() > 0
+    assert len(seen) == 1 and not {"bait", "prey"} & set(seen[0])
