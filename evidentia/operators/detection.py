@@ -103,4 +103,6 @@ def detection_model(rows: DataFrame, draws: int = 4_000, tune: int = 1_000, seed
     """
     ship(rows.sparkSession)
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "tested", "observed", "abundance").mapInPandas(_sampled(draws, tune, seed), f"key {kind}, mean double, sd double, low double, high double")
+    # few bytes, long work: left to their size, all keys would be one task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("key", "tested", "observed", "abundance").repartition(parts, "key").mapInPandas(_sampled(draws, tune, seed), f"key {kind}, mean double, sd double, low double, high double")
