@@ -8,9 +8,11 @@ from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.operators import flows
 from evidentia.operators.masks import ordered_pairs
 from evidentia.operators.stats import hash_unit
 from evidentia.scratch import discard, materialize, running, ship
@@ -380,28 +382,20 @@ def permuted(edges: DataFrame, replicates: int, fraction: float = 0.95, min_flow
 
 def scaled_negatives(edges: DataFrame, scales: list[float] = (1.0, 1.5, 2.0)) -> DataFrame:
     """Per scale, the negatives that a flow keeps within the positives' degrees times the scale, and how well they match:
-    ``scale, n_pos, n_neg, spearman, divergence_out, divergence_in, score``; the least score is best."""
+    ``scale, n_pos, n_neg, spearman, divergence_out, divergence_in, score``; the least score is best.
+
+    A flow looks at all of a network: one task holds its edges as numbers, once for all scales (see flows)."""
     ship(edges.sparkSession)
+    names, held = ["scale", "n_pos", "n_neg", "spearman", "divergence_out", "divergence_in", "score"], [float(x) for x in scales]
+    kinds = [pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, neg = (list(zip(g.src, g.dst, strict=True)) for g in (pdf[pdf.sign == 1], pdf[pdf.sign == 0]))
-        (po, pi), (no, ni) = _degrees(pos, True), _degrees(neg, True)
-        out, into = set(po) & set(no), set(pi) & set(ni)
-        pos, neg = (sorted(e for e in x if e[0] in out and e[1] in into) for x in (pos, neg))
-        (po, pi), scale = _degrees(pos, True), float(pdf.scale.iloc[0])
-        took = [neg[i] for i in degree_constrained(neg, {v: round(d * scale) for v, d in po.items()}, {v: round(d * scale) for v, d in pi.items()})]
-        to, ti = _degrees(took, True)
-        nodes = sorted(out | into)
-        target, got = (np.array([f.get(v, 0) for f in x for v in nodes], float) for x in ((po, pi), (to, ti)))
-        rho = pd.Series(target).rank().corr(pd.Series(got).rank()) if len(nodes) else float("nan")
-        half = len(nodes)
-        far = np.abs(target - got)
-        score = 1 - len(pos) / len(took) + far.sum() / len(pos) + 1 - rho if took and pos else float("inf")
-        return pd.DataFrame([(scale, len(pos), len(took), rho, int(far[:half].sum()), int(far[half:].sum()), score)])
+    def run(batches):
+        rows = list(zip(*flows.scaled(batches, held), strict=True))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names)
 
     schema = "scale double, n_pos long, n_neg long, spearman double, divergence_out long, divergence_in long, score double"
-    each = edges.select("src", "dst", "sign").withColumn("scale", F.explode(F.array(*[F.lit(float(x)) for x in scales])))
-    return each.groupBy("scale").applyInPandas(lambda pdf: run(pdf).set_axis(["scale", "n_pos", "n_neg", "spearman", "divergence_out", "divergence_in", "score"], axis=1), schema)
+    return edges.select("src", "dst", "sign").repartition(1).mapInArrow(run, schema)
 
 
 def worst_nodes(edges: DataFrame, share: float) -> DataFrame:
