@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.operators import masks as M
+from evidentia.operators.whole import valued_pairs
 from evidentia.scratch import materialize
 
 
@@ -232,7 +233,7 @@ def shared_members(ev: DataFrame, key: str, member: str, zeros: bool = True) ->
         met = met.filter("x < y").groupBy("x", "y").agg(F.sum("t").alias("n_shared"))
     if not zeros:
         return met
-    return M.ordered_pairs(rows.select(key).distinct(), key, "x", "y").join(met, ["x", "y"], "left").fillna(0, ["n_shared"])
+    return valued_pairs(rows.select(key).distinct(), met, "x", "y", "n_shared")
 
 
 def entropy_share(ev: DataFrame, group: list[str], key: str, over: str) -> DataFrame:
