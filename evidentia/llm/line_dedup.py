@@ -133,15 +133,21 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at:][where] if len(where) else np.zeros(0, np.int64))], ["h", "keep"])
 
 
-def _occurrences(marks, bits: int):
+def _occurrences(marks, bits: int, common):
+    """Occurrences of hashes that may be repeated. Those of the ``common`` hashes (h, keep, cells) are dealt over cells, and
+    each cell gets a copy of the origin."""
+
     def run(batches):
-        seen = marks.value
+        seen, (hot, keep, cells) = marks.value, common.value
+        names, origins = ["h", "cell", "id", "th", "place", "size", "before", "bytes", "first"], {}
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
         for batch in batches:
             ids = [_NO_ID if x is None else x for x in batch.column(0).to_pylist()]
             th, texts = batch.column(1).to_pylist(), wordhash.encoded(batch.column(2))
             for at, held in wordhash.batches(texts):
                 where, key, mid, end, a, b = boundaries(held)
-                out: list[list] = [[] for _ in range(8)]
+                out: list[list] = [[] for _ in names]
                 met: set = set()
                 hit = np.flatnonzero(passes(seen, bits, key))
                 where, key, mid, end, a, b = (x[hit] for x in (where, key, mid, end, a, b))
@@ -149,12 +155,22 @@ def _occurrences(marks, bits: int):
                 near = where[1:] == where[:-1]
                 a[1:] = np.where(near, np.maximum(a[1:], mid[:-1]), a[1:])
                 b[:-1] = np.where(near, np.minimum(b[:-1], end[1:]), b[:-1])
-                for w, k, p, q, x, y in zip(*(v.tolist() for v in (where, key, mid, end, a, b)), strict=True):
-                    for column, value in zip(out, (k, ids[at + w], th[at + w], p, q - p, held[w][x:p], held[w][p:y], (w, k) not in met), strict=True):
-                        column.append(value)
+                spot = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
+                spot = np.where(hot[spot] == key, spot, -1) if len(hot) else np.full(len(key), -1)
+                for w, k, p, q, x, y, c in zip(*(v.tolist() for v in (where, key, mid, end, a, b, spot)), strict=True):
+                    first, doc, text = (w, k) not in met, ids[at + w], th[at + w]
                     met.add((w, k))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "id", "th", "place", "size", "before", "bytes", "first"])
+                    row = (k, 0 if c < 0 else (doc ^ text ^ (p * 0x9E3779B1)) % int(cells[c]), doc, text, p, q - p, held[w][x:p], held[w][p:y], first)
+                    if c >= 0 and first and doc == keep[c]:
+                        if c not in origins or (p, text) < origins[c][4:2:-1]:
+                            origins[c] = row
+                        continue
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                yield made(out)
+        for c, row in origins.items():
+            for i in range(0, int(cells[c]), 1_000):
+                yield made(list(zip(*((row[0], j, *row[2:]) for j in range(i, min(i + 1_000, int(cells[c])))), strict=True)))
 
     return run
 
@@ -172,12 +188,19 @@ def reach(a: bytes, b: bytes, most: int | None = None) -> int:
 
 
 def _matches(batches):
-    """Begin and end, in bytes of the text, of what is equal around a boundary and its first occurrence."""
+    """Begin and end, in bytes of the text, of what is equal around a boundary and its first occurrence, which leads the rows of
+    its hash and cell."""
+    group = origin = None
     for batch in batches:
-        names = ["id", "th", "place", "size", "before", "bytes", "_same", "_place", "_before", "_bytes"]
         out: list[list] = [[] for _ in range(4)]
-        for doc, th, place, size, before, here, same, place0, before0, here0 in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in names), strict=True):
-            most = place - place0 if same else None
+        for h, cell, doc, th, place, size, before, here, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (h, cell) != group:
+                group, origin = (h, cell), (doc, th, place, before, here)
+                continue
+            doc0, th0, place0, before0, here0 = origin
+            if first and doc == doc0:
+                continue  # a row of the same id keeps what the first one keeps
+            most = place - place0 if (doc, th) == (doc0, th0) else None
             right = reach(here, here0, most)
             if right < size:
                 continue  # other lines of the same hash, or lines that overlap their origin
@@ -225,16 +248,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     again = pairs.groupBy("h").agg(F.count("*").alias("n"), F.min("keep").alias("keep")).filter("n > 1")
     again = materialize(again.select("h", "keep", F.ceil(F.col("n") / PER_CELL).alias("cells")), "repeated")
     marks, bits = key_filter(again.select("h"), again.count())
-    found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_occurrences(marks, bits), "h long, id long, th long, place int, size int, before binary, bytes binary, first boolean")
-    found = materialize(found.join(again, "h"), "occurrences")
-    keeps = (F.col("id") == F.col("keep")) & F.col("first")
-    origin = found.filter(keeps).groupBy("h").agg(F.min(F.struct("place", "th", "id", "before", "bytes")).alias("o"), F.first("cells").alias("cells"))
-    # the occurrences of very common lines are split, and meet copies of their origin
-    origin = origin.select("h", "o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
-    same = (F.col("id") == F.col("o.id")) & (F.col("th") == F.col("o.th"))
-    others = found.filter(~keeps).withColumn("cell", F.pmod(F.xxhash64("id", "th", "place"), F.col("cells"))).drop("cells")
-    pairs = others.join(origin, ["h", "cell"]).select("id", "th", "place", "size", "before", "bytes", same.alias("_same"), F.col("o.place").alias("_place"), F.col("o.before").alias("_before"), F.col("o.bytes").alias("_bytes"))
-    return pairs.mapInArrow(_matches, "id long, th long, a int, b int")
+    # one in PER_CELL occurrences at most; their occurrences are split, and meet copies of their origin
+    common = [c.to_numpy() for c in again.filter("cells > 1").select("h", "keep", "cells").orderBy("h").toArrow().combine_chunks().columns]
+    common = docs.sparkSession.sparkContext.broadcast(common)
+    schema = "h long, cell int, id long, th long, place int, size int, before binary, bytes binary, first boolean"
+    found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_occurrences(marks, bits, common), schema)
+    # the smallest id, and its first place, leads; so occurrences are dealt and sorted once, and written nowhere else
+    found = found.repartition("h", "cell").sortWithinPartitions("h", "cell", "id", F.desc("first"), "place", "th")
+    return found.mapInArrow(_matches, "id long, th long, a int, b int")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

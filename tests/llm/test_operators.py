@@ -531,3 +531,18 @@ def test_ties_of_equal_lengths_and_shards(spark):
     for d, s in a:
         homes[d % 4].add(s)
     assert len(b) == 32 and all(len(x) == 1 for x in homes.values())
+
+
+def test_line_dedup_deals_occurrences_once(spark, monkeypatch):
+    """Texts around repeated lines are not written to scratch; common lines that are split lose the same, also for rows of one id."""
+    written, write = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: written.append(df.columns) or write(df, name))
+    passage = [" ".join(f"p{k}w{i}" for i in range(60)) for k in range(4)]
+    rows = [(None if i % 7 == 0 else i // 2, "\n".join([f"own {i} {i * i}", passage[i % 4], f"more {i} of {i}", passage[(i * i) % 3]])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = []
+    for per_cell in (line_dedup.PER_CELL, 3):
+        monkeypatch.setattr(line_dedup, "PER_CELL", per_cell)
+        found.append(Counter(map(tuple, line_dedup.dedup_lines(df).collect())))
+    assert found[0] == found[1] and sum(r[2] for r in found[0].elements()) > 1_000
+    assert not [c for c in written if "bytes" in c]
