@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,3 +116,39 @@ def passes(seen, bits: int, keys):
     """Which NumPy keys a filter holds, a few others among them."""
     at = slots(keys, bits)
     return ((seen[at >> 3] >> (7 - (at & 7)).astype("uint8")) & 1).astype(bool)
+
+
+#: Bytes that a worker's function takes up at a time, about; a row is never split.
+SLICE = 1 << 21
+
+
+def slices(batches) -> Iterator:
+    """The rows of Arrow batches, in order, in batches of about ``SLICE`` bytes."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE // max(SLICE, batch.nbytes))
+        for lo in range(0, batch.num_rows, step):
+            yield batch.slice(lo, step)
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system. Workers outlive their tasks, and what they keep is the executor's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def sliced(run):
+    """``run``, a function of mapInArrow, on slices: its lists and results are those of a slice, not of a whole batch."""
+
+    @wraps(run)
+    def bounded(batches):
+        yield from run(slices(batches))
+        release()
+
+    return bounded

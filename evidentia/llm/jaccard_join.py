@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import wordhash
-from evidentia.llm.common import WORD, discard, key_filter, materialize, passes, ship
+from evidentia.llm.common import WORD, discard, key_filter, materialize, passes, ship, sliced
 from evidentia.llm.graph import components
 
 #: The sketch has as many counters as this to 2**MOST_BITS: 16 MB of one-byte levels at most are broadcast, and a task
@@ -80,7 +80,7 @@ def _sketch(bits: int, width: int):
             some = used[lo : lo + 256]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([part] * len(some), pa.int32()), pa.array([rows[i].astype("<u4").tobytes() for i in some], pa.binary())], ["block", "part", "n"])
 
-    return run
+    return sliced(run)
 
 
 def _add(key: str):
@@ -149,7 +149,7 @@ def _plausible(percent: int):
             hit = [least_difference(p, q) <= d for p, q, d in zip(x, y, most, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(hit, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    return run
+    return sliced(run)
 
 
 def _prefixes(levels, width: int, percent: int):
@@ -168,7 +168,7 @@ def _prefixes(levels, width: int, percent: int):
                 toks[i] = t.astype(np.int64)
             yield pa.RecordBatch.from_arrays([ids, pa.array([x or 0 for x in n], pa.int64()), pa.array(key, pa.int64()), pa.array(chk, pa.int64()), pa.array(low, pa.int64()), pa.array(common, pa.int32()), pa.array(sig, pa.binary()), pa.array(toks, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "n", "cls", "chk", "low", "common", "sig", "toks", "th"])
 
-    return run
+    return sliced(run)
 
 
 def _marked(marks, bits: int):
@@ -185,7 +185,7 @@ def _marked(marks, bits: int):
             rows = pa.array(of[hit])
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(3)), pa.array(pos[hit].astype(np.int32)), pa.array(flat[hit])], ["cls", "n", "common", "pos", "token"])
 
-    return run
+    return sliced(run)
 
 
 def _full_sets(wanted, bits: int, width: int):
@@ -200,7 +200,7 @@ def _full_sets(wanted, bits: int, width: int):
                 sets.append(own.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(chk, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "chk", "s"])
 
-    return run
+    return sliced(run)
 
 
 def told_apart(df: DataFrame, clash: DataFrame | None) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import wordhash
-from evidentia.llm.common import materialize, ship
+from evidentia.llm.common import materialize, ship, sliced
 
 LANGUAGES = ("de", "en", "es", "fr")
 BITS = 14
@@ -71,7 +71,7 @@ def _counted(languages: tuple[str, ...]):
         n = len(languages)
         yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["language", "part", "n"])
 
-    return run
+    return sliced(run)
 
 
 def _added(key, table):
@@ -104,7 +104,7 @@ def _scored(model):
             made = [pa.array([f[0] for f in found], pa.list_(pa.float64())), pa.array([f[1] for f in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "p_text", "n_text"])
 
-    return run
+    return sliced(run)
 
 
 def _posterior(text: bytes, marked: np.ndarray) -> tuple[list[float], int]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import wordhash
-from evidentia.llm.common import key_filter, materialize, passes, ship
+from evidentia.llm.common import key_filter, materialize, passes, ship, sliced
 
 #: Words of a line at most, lines of a rolling hash, neighbouring rolling hashes of which one is a boundary, and words
 #: around a boundary that are compared.
@@ -125,6 +125,7 @@ def boundaries(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return where, v[at].astype(np.int64), s[w] - zero, e[z] - zero, s[a] - zero, e[b] - zero
 
 
+@sliced
 def _keys(batches):
     for batch in batches:
         ids = np.array([_NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
@@ -172,7 +173,7 @@ def _occurrences(marks, bits: int, common):
             for i in range(0, int(cells[c]), 1_000):
                 yield made(list(zip(*((row[0], j, *row[2:]) for j in range(i, min(i + 1_000, int(cells[c])))), strict=True)))
 
-    return run
+    return sliced(run)
 
 
 def reach(a: bytes, b: bytes, most: int | None = None) -> int:
@@ -187,6 +188,7 @@ def reach(a: bytes, b: bytes, most: int | None = None) -> int:
     return len(x.rstrip(b" \t\n\v\f\r"))
 
 
+@sliced
 def _matches(batches):
     """Begin and end, in bytes of the text, of what is equal around a boundary and its first occurrence, which leads the rows of
     its hash and cell."""
@@ -239,7 +241,7 @@ def _without(min_words: int):
                 lost.append(words)
             yield pa.RecordBatch.from_arrays([batch.column(names.index("_row")), pa.array(new, pa.string()), pa.array(lost, pa.int64())], ["_row", "_text", "_lost"])
 
-    return run
+    return sliced(run)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import discard, materialize, ship
+from evidentia.llm.common import discard, materialize, ship, sliced
 
 #: Pieces that one partition packs, on average.
 PER_PARTITION = 20_000
@@ -63,6 +63,7 @@ def _packed_ids(piece: np.ndarray) -> bytes:
     return piece.astype("<u2" if not len(piece) or piece.max() < 1 << 16 else "<u4").tobytes()
 
 
+@sliced
 def _unpacked_ids(batches):
     for batch in batches:
         names = batch.schema.names
@@ -90,7 +91,7 @@ def _tokenize(path: str, capacity: int, end: int, with_ids: bool):
             n = 7 if with_ids else 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], kinds[:n], strict=True)], names[:n])
 
-    return run
+    return sliced(run)
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, with_ids: bool = True, text: str = "text") -> DataFrame:

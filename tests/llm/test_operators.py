@@ -546,3 +546,28 @@ def test_line_dedup_deals_occurrences_once(spark, monkeypatch):
         found.append(Counter(map(tuple, line_dedup.dedup_lines(df).collect())))
     assert found[0] == found[1] and sum(r[2] for r in found[0].elements()) > 1_000
     assert not [c for c in written if "bytes" in c]
+
+
+def test_workers_hold_a_slice_not_a_batch():
+    """What a worker holds beside its input and what it sends on at a time are those of a slice, and all rows come, in order."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng, vocabulary = np.random.default_rng(1), np.array([f"w{i}" for i in range(5_000)])
+    n = 4_000
+    texts = [" ".join(vocabulary[rng.integers(0, 5_000, 400)]) for _ in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts), pa.array(range(n), pa.int64())], ["doc_id", "text", "th"])
+    every, levels = SimpleNamespace(value=np.full(1 << 17, 255, np.uint8)), SimpleNamespace(value=np.zeros(1 << 20, np.uint8))
+    for run, given in ((jaccard_join._prefixes(levels, 5, 80), batch), (jaccard_join._full_sets(every, 20, 5), batch.select([0, 1]))):
+        for _ in range(2):  # once for what is remembered
+            tracemalloc.start()
+            rows, most, first = 0, 0, []
+            for out in run(iter([given])):
+                rows, most = rows + out.num_rows, max(most, out.nbytes)
+                first += out.column(0).to_pylist()
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+        assert rows == n and most < given.nbytes / 2 and peak < given.nbytes, (rows, most, peak)
+        assert first == (list(range(n)) if run.__qualname__.startswith("_prefixes") else [jaccard_join._set_key(s) for _, s in jaccard_join._sets([t.encode() for t in texts], 5)])
