@@ -107,3 +107,29 @@ def test_edges_make_no_pair_table(spark, monkeypatch):
 
     monkeypatch.setattr(E, "aggregate_pairs", made)
     assert catalog.QUERIES["hci_hcni_edges"](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize(("changed", "turned"), [({}, False), ({"MOST_BROADCAST": 0}, True), ({"MOST_WORDS": 0}, False)])
+def test_valued_pairs(found, monkeypatch, changed, turned):
+    """All pairs with values by their counts, in several blocks of baits or of preys."""
+    for k, v in changed.items():
+        monkeypatch.setattr(T, k, v)
+    group, by = ["study", "cell"], ["cell", "n_tested", "n_observed"]
+    ends = ["prey", "bait"] if turned else ["bait", "prey"]
+    rows = found.select(*group, *[F.col(c).alias(k) for c, k in zip(("bait", "prey"), ends, strict=True)])
+    more = rows.filter("study < 9").select(*group, *[F.explode(F.sequence(F.lit(0), F.lit(90 * (k == ends[0])), F.lit(3))).alias("_n") if k == ends[0] else F.col(k) for k in ("bait", "prey")])
+    rows = E.evidence(rows.unionByName(more.withColumnRenamed("_n", ends[0]).withColumn(ends[0], F.col(ends[0]).cast("long") + 200)), group)
+    right = E.aggregate_pairs(rows, group, ["cell", "bait", "prey"])
+    right = sorted((*r, r["n_tested"] * 7 + r["n_observed"]) for r in right.select("cell", "bait", "prey", "n_tested", "n_observed").collect())
+    p = T.Profile(rows, group, ["cell"])
+    values = T.counts_met(p).withColumn("v", F.col("n_tested") * 7 + F.col("n_observed"))
+    got = T.valued_pairs(p, values, True).select("cell", "bait", "prey", "n_tested", "n_observed", "v").collect()
+    assert len(got) == len(right) > 1_000 and sorted(map(tuple, got)) == right
+
+
+def test_masses_are_looked_up_where_pairs_are_made(spark, monkeypatch):
+    def made(*args, **kwargs):
+        raise AssertionError("a pair table")
+
+    monkeypatch.setattr(E, "aggregate_pairs", made)
+    assert catalog.QUERIES["cell_bounds_mass"](spark, SF).count() > 0
