@@ -133,3 +133,38 @@ def test_masses_are_looked_up_where_pairs_are_made(spark, monkeypatch):
 
     monkeypatch.setattr(E, "aggregate_pairs", made)
     assert catalog.QUERIES["cell_bounds_mass"](spark, SF).count() > 0
+
+
+def test_observed_pairs_are_shuffled_once(found, monkeypatch):
+    """With masks of preys too many to broadcast; those of baits are."""
+    p = T.Profile(found, ["study", "cell"], ["cell"])
+    right = sorted(map(tuple, p.observed().collect()))
+    monkeypatch.setattr(T.Profile, "_small", lambda self, role: role == "bait")
+    spark = found.sparkSession
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = p.observed()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # pairs, masks
+        assert sorted(map(tuple, p.observed().collect())) == right
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_lines_are_shuffled_twice_for_cell_lines(spark):
+    """Dealt by order, then as evidence; with studies by number, the sums by prey and cell line need no further shuffle."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for numbers in (False, True):
+            lines = catalog.ev_cell(spark, SF, *[True] * numbers)._jdf.queryExecution().executedPlan().toString().split("\n")
+            at = next(i for i, x in enumerate(lines) if "l_suppkey" in x and "FileScan" in x)
+            above, depth = [], lines[at].index("FileScan")
+            for x in reversed(lines[:at]):  # the operators on the way up
+                here = len(x) - len(x.lstrip(" :+-"))
+                if x.strip() and here < depth:
+                    above.append(x)
+                    depth = here
+            assert sum("Exchange hashpartitioning" in x for x in above) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
