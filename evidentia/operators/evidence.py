@@ -217,9 +217,18 @@ def hub_status(df: DataFrame, positive: str = "pos_bin", negative: str = "neg_bi
     return df.withColumn("hub", F.when(inter, "interaction").when(non, "non_interaction").otherwise("none"))
 
 
+def members(ev: DataFrame, key: str, member: str) -> DataFrame:
+    """Distinct rows of both without nulls, written once: give it to shared_members in place of ``ev``."""
+    if getattr(ev, "_members", None) == (key, member):
+        return ev
+    out = materialize(ev.select(key, member).dropna().distinct(), "members")
+    out._members = (key, member)
+    return out
+
+
 def shared_members(ev: DataFrame, key: str, member: str, zeros: bool = True) -> DataFrame:
     """Members that two keys share, for pairs of keys in order; with ``zeros`` for all of them, as many as there are."""
-    rows = materialize(ev.select(key, member).dropna().distinct(), "members")
+    rows = members(ev, key, member)
     sizes = rows.groupBy(member).agg(F.count("*").alias("n"))
     most, work = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()
     if most <= M.CELL and rows.count() > M.MOST_BROADCAST:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.special import normal_tail, t_quantile
+from evidentia.operators.masks import tasks
 from evidentia.operators.windows import adjust, average_rank, numbered
 from evidentia.scratch import materialize, running, ship
 
@@ -141,16 +142,20 @@ def group_interval(df: DataFrame, value: str, by: list[str], level: float = 0.97
     return g.withColumn("_t", t("n")).select(*by, "mean", "n", "se", (F.col("mean") - F.col("_t") * F.col("se")).alias("lo"), (F.col("mean") + F.col("_t") * F.col("se")).alias("hi"))
 
 
+def _draws(ids: DataFrame, n: int, replicates: int, seed: int) -> DataFrame:
+    """``rep, at``: n draws with replacement from ``ids`` (``at``, from 1 to n) for each replicate, over tasks of some millions."""
+    dealt = ids.repartition(tasks(ids, n * replicates), "at")
+    draws = dealt.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    return draws.select("rep", (F.floor(draw(F.col("at"), F.col("rep"), F.lit(seed)) * n) + 1).cast("long").alias("at"))
+
+
 def _drawn_nodes(nodes: DataFrame, replicates: int, seed: int) -> DataFrame:
     """``rep, at, w``: how often each of the n nodes, numbered from 1, comes up in n draws with replacement.
 
     Replicate 0 is the sample itself. Draws are spread over tasks by node and replicate, and counted before any join.
     """
-    n = nodes.count()
     ids = nodes.select("at")
-    draws = ids.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    hit = (F.floor(draw(F.col("at"), F.col("rep"), F.lit(seed)) * n) + 1).cast("long")
-    drawn = draws.select("rep", hit.alias("at")).groupBy("rep", "at").agg(F.count("*").alias("w"))
+    drawn = _draws(ids, nodes.count(), replicates, seed).groupBy("rep", "at").agg(F.count("*").alias("w"))
     return drawn.unionByName(ids.select(F.lit(0).alias("rep"), "at", F.lit(1).cast("long").alias("w")))
 
 
@@ -167,10 +172,13 @@ def node_bootstrap(edges: DataFrame, a: str, b: str, flag: str | list[str], labe
     for i in range(len(flags)):
         sums += [F.sum(F.col("_l") * F.col(f"_f{i}")).alias(f"p{i}"), F.sum((1 - F.col("_l")) * F.col(f"_f{i}")).alias(f"n{i}")]
     nodes = materialize(numbered(ends.groupBy("node").agg(*sums), "node", out="at"), "nodes")
-    drawn, few = _drawn_nodes(nodes, replicates, seed), nodes.count() <= MOST_NODES
-    reps = drawn.join(F.broadcast(nodes) if few else nodes.hint("merge"), "at")
     counts = [c for c in nodes.columns if c not in ("node", "at")]
-    reps = reps.groupBy("rep").agg(*[F.sum(F.col("w") * F.col(c)).cast("double").alias(c) for c in counts])
+    n = nodes.count()
+    nodes_at = F.broadcast(nodes.select("at", *counts)) if n <= MOST_NODES else nodes.select("at", *counts).hint("merge")
+    # a draw is joined where it is made and summed by its replicate at once: whole numbers, whose sums are exact in any order
+    reps = _draws(nodes.select("at"), n, replicates, seed).join(nodes_at, "at").groupBy("rep").agg(*[F.sum(c).alias(c) for c in counts])
+    reps = reps.unionByName(nodes.select(F.lit(0).alias("rep"), *counts).groupBy("rep").agg(*[F.sum(c).alias(c) for c in counts]))
+    reps = materialize(reps.select("rep", *[F.col(c).cast("double").alias(c) for c in counts]), "replicates")
     rate = lambda s, n: F.when(F.col(n) > 0, F.col(s) / F.col(n)).otherwise(0.0)
     odds = lambda r: F.greatest(r / F.greatest(1 - r, F.lit(1e-10)), F.lit(1e-10))
     each = F.array(*[F.struct(F.lit(f).alias("variable"), rate(f"p{i}", "np").alias("rp"), rate(f"n{i}", "nn").alias("rn")) for i, f in enumerate(flags)])

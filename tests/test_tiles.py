@@ -9,6 +9,7 @@ from evidentia.functions import special
 from evidentia.operators import detection as D
 from evidentia.operators import evidence as E
 from evidentia.operators import masks as M
+from evidentia.operators import stats as S
 from evidentia.operators import tiles as T
 from evidentia.plans import analyses, catalog, exchange  # noqa: F401  they register their queries
 
@@ -168,3 +169,39 @@ def test_lines_are_shuffled_twice_for_cell_lines(spark):
             assert sum("Exchange hashpartitioning" in x for x in above) == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_draws_are_summed_where_they_are_made(spark, monkeypatch):
+    """By replicate, whole: not counted by replicate and node, which are nearly as many as draws."""
+    edges = [(a, b, (a * b) % 3 == 1, int((a + 2 * b) % 5 < 3)) for a in range(9) for b in range(a)]
+    g = spark.createDataFrame(edges, "a long, b long, x boolean, y int")
+    nodes, n = S.numbered(g.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", out="at"), 9
+    at = {r["at"]: r["node"] for r in nodes.collect()}
+    made = S._drawn_nodes(nodes, 60, 1).collect()
+    ends = [(v, x, y) for a, b, x, y in edges for v in (a, b)]
+    rates = {}
+    for rep in range(61):
+        w = {at[r["at"]]: r["w"] for r in made if r["rep"] == rep}
+        assert sum(w.values()) == n
+        rates[rep] = [sum(w.get(v, 0) * x for v, x, y in ends if y == s) / max(1, sum(w.get(v, 0) for v, x, y in ends if y == s)) for s in (1, 0)]
+
+    def counted(*args):
+        raise AssertionError("draws counted by replicate and node")
+
+    monkeypatch.setattr(S, "_drawn_nodes", counted)
+    seen, own = [], S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: (seen.append(own(df, name)), seen[-1])[1])
+    for most in (S.MOST_NODES, 0):
+        monkeypatch.setattr(S, "MOST_NODES", most)
+        out = S.node_bootstrap(g, "a", "b", "x", "y", replicates=60).collect()
+        assert (out[0]["rate_pos"], out[0]["rate_neg"]) == pytest.approx(rates[0])
+        reps = {r["rep"]: [r["p0"] / max(1, r["np"]), r["n0"] / max(1, r["nn"])] for r in next(d for d in reversed(seen) if "rep" in d.columns).collect()}
+        assert reps == {k: pytest.approx(v) for k, v in rates.items()}
+
+
+def test_signs_write_their_members_once(spark, monkeypatch):
+    seen, own = [], E.materialize
+    monkeypatch.setattr(E, "materialize", lambda df, name: seen.append(name) or own(df, name))
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: seen.append(name) or own(df, name))
+    assert catalog.QUERIES["signed_edges"](spark, SF).count() > 0
+    assert seen.count("members") == 1
